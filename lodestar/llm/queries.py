@@ -64,7 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op8_curriculum_mix": """
 WITH d AS (
-  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')) AS BIGINT) AS size,
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
          coalesce(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT, 0) AS u
   FROM documents),
 s AS (
