@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, sharding, token_counts, url_filters
+from . import decontaminate, mixing, near_dup, pii, quality, sharding, substring_dedup, suffix_dedup, token_counts, url_filters
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 TOKEN_LIMIT = 4096
@@ -25,6 +25,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
 
@@ -40,6 +44,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(read(spark, sf_dir, "documents")).select("doc_id", "n_repeated", "spans")
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return done.select("doc_id", "text", F.aggregate(F.map_values("pii"), F.lit(0), lambda a, n: a + n).cast("long").alias("n_replaced"))
@@ -49,6 +57,11 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.scheduled(read(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.repeated_words_removed(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.measure(read(spark, sf_dir, "documents"), keep=["doc_id"])
     failed, kept = quality.verdicts("quality")
@@ -57,7 +70,7 @@ def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op3_decontaminate, op4_hilbert_shards, op5_token_counts, op7_pseudonyms, op8_curriculum_mix, op10_repetition_coverage)
+    f.__name__: f for f in (op1_url_filter, op2_minhash_near_dup, op3_decontaminate, op4_hilbert_shards, op5_token_counts, op6_suffix_dedup, op7_pseudonyms, op8_curriculum_mix, op9_substring_dedup, op10_repetition_coverage)
 }
 
 #: DuckDB SQL where it can express a query.
