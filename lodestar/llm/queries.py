@@ -45,7 +45,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_passages(read(spark, sf_dir, "documents")).select("doc_id", "n_repeated", "spans")
+    found = suffix_dedup.repeated_passages(read(spark, sf_dir, "documents")).select("doc_id", F.explode("spans").alias("s"))
+    return found.select("doc_id", F.col("s.start").cast("long").alias("start_word"), F.col("s.end").cast("long").alias("end_word"))
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +74,70 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_minhash_near_dup, op3_decontaminate, op4_hilbert_shards, op5_token_counts, op6_suffix_dedup, op7_pseudonyms, op8_curriculum_mix, op9_substring_dedup, op10_repetition_coverage)
 }
 
+WORDS_SQL = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+#: Documents as lists of words, and the words of every n-word window that also starts elsewhere.
+REPEATS_SQL = """
+d AS (SELECT doc_id, {words} AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - {n} + 2)) AS i, unnest(list_transform(range(1, len(ws) - {n} + 2), lambda i: md5(array_to_string(list_slice(ws, i, i + {n} - 1), ' ')))) AS h FROM d WHERE len(ws) >= {n}),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM g) WHERE c > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS p FROM r)"""
+
+
+def repeats_sql(n: int) -> str:
+    return REPEATS_SQL.format(n=n, words=WORDS_SQL.format(text="coalesce(text, '')"))
+
+
+def coverage_sql() -> str:
+    """The characters that later ones of equal n-grams cover, for each n of the rules, as CTEs c5, c6 ..."""
+    out = ""
+    for n in sorted(quality.NGRAM_LIMITS):
+        out += f""",
+g{n} AS (SELECT doc_id, unnest(range(1, len(ws) - {n} + 2)) AS i, unnest(list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(list_slice(ws, i, i + {n} - 1), ' '))) AS h FROM d WHERE len(ws) >= {n}),
+l{n} AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, h ORDER BY i) AS k FROM g{n}) WHERE k > 1),
+c{n} AS (SELECT doc_id, sum(length(ws[p])) AS chars FROM (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS p FROM l{n}) JOIN d USING (doc_id) GROUP BY doc_id)"""
+    return out
+
+
+QUALITY_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS_SQL.format(text="coalesce(text, '')")} AS ws FROM documents),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d),
+ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+dl AS (SELECT doc_id, line FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM ln) WHERE k > 1 AND regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dc AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) AS chars FROM dl GROUP BY doc_id),
+g3 AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(list_slice(ws, i, i + 2), ' '))) AS h FROM d WHERE len(ws) >= 3),
+l3 AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS k FROM g3) WHERE k > 1),
+c3 AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM l3) GROUP BY doc_id){coverage_sql()},
+a AS (SELECT m.*, coalesce(dc.n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(c3.n, 0) AS BIGINT) AS n_repeat_words,
+  coalesce(dc.chars, 0) / greatest(word_chars, 1) <= {quality.LINE_LIMIT}::DOUBLE {" ".join(f"AND coalesce(c{n}.chars, 0) / greatest(word_chars, 1) <= {limit}::DOUBLE" for n, limit in sorted(quality.NGRAM_LIMITS.items()))} AS good
+  FROM m LEFT JOIN dc USING (doc_id) LEFT JOIN c3 USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in sorted(quality.NGRAM_LIMITS))})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND good AS kept FROM a"""
+
+NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM d),
+n AS (SELECT d.doc_id, count(sh) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.doc_id WHERE r.m < l.b),
+k AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN k USING (doc_id)"""
+
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {
+    "op2_minhash_near_dup": NEAR_SQL,
+    "op6_suffix_dedup": f"""
+WITH {repeats_sql(suffix_dedup.MIN_WORDS)},
+e AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c)
+SELECT doc_id, CAST(min(p) - 1 AS BIGINT) AS start_word, CAST(max(p) AS BIGINT) AS end_word FROM e GROUP BY doc_id, run""",
+    "op9_substring_dedup": f"""
+WITH {repeats_sql(substring_dedup.WINDOW)},
+gone AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(ws, lambda w, i: ps IS NULL OR NOT list_contains(ps, i)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)""",
+    "op10_repetition_coverage": QUALITY_SQL,
     "op8_curriculum_mix": """
 WITH d AS (
   SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
