@@ -6,32 +6,57 @@ the cluster shares and read again as the next stage's docs. All but the last ret
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import decontaminate, mixing, near_dup, quality, sharding
-from lodestar.llm.common import saved
+from lodestar.llm.common import forget, recorded, release, saved
+
+#: Tables that a stage's operator wrote on its way, by run: they go when the next stage starts, as its input is a table.
+_WAY: dict[str, list[DataFrame]] = {}
+
+
+def staged(stage):
+    """A stage that first frees what the stage before it has left in the shared folder and in shuffle files."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(*_WAY.pop(sf_dir, []))
+        release(spark)
+        with recorded() as made:
+            out = stage(spark, docs, sf_dir)
+        _WAY[sf_dir] = made
+        return out
+
+    return run_stage
 
 
+@staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
     return quality.rejected_removed(docs)
 
 
+@staged
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id: five-word shingles, similarity 0.8 or more."""
     return near_dup.one_of_each(docs)
 
 
+@staged
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, re-parameterised ones included."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@staged
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it, in the order of the curriculum."""
     return mixing.mix(docs)
 
 
+@staged
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard and slot of every document of the mix, along the Hilbert curve of source, language and size."""
     return sharding.assign_shards(docs)

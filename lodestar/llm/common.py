@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,8 +21,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker takes apart at once; longer single texts are taken alone.
 SLICE_BYTES = 4 << 20
 
-_SPARK_SAVED: list[tuple[SparkSession, str]] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
@@ -36,16 +36,54 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _SPARK_SAVED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    for made in _RECORDS:
+        made.append(out)
+    return out
 
 
-def drop_saved() -> None:
-    """Delete the tables that saved() wrote; call it when no result that reads them is needed any more."""
-    while _SPARK_SAVED:
-        spark, path = _SPARK_SAVED.pop()
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """df, written to the shared folder as a table of buckets by a column: joins on it later move the other side alone."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex}", f"lodestar_{uuid.uuid4().hex}"
+    df.repartition(n, F.col(f"`{by}`")).write.format("parquet").bucketBy(n, by).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.saved_at, out.table = path, table
+    for made in _RECORDS:
+        made.append(out)
+    return out
+
+
+_RECORDS: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that saved() writes meanwhile, for forget()."""
+    made: list[DataFrame] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that saved() wrote, when nothing reads them any more."""
+    for t in tables:
+        spark = t.sparkSession
+        there = spark._jvm.org.apache.hadoop.fs.Path(t.saved_at)
         there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        if table := getattr(t, "table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark frees them when the driver's objects for them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def free_name(df: DataFrame, wish: str) -> str:

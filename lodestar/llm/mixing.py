@@ -55,13 +55,18 @@ def time_of(part: Column, slope: Column) -> Column:
     return F.when(slope == 0, part).otherwise((F.sqrt((1 - slope) * (1 - slope) + 4 * slope * part) - (1 - slope)) / (2 * slope))
 
 
-def scheduled(df: DataFrame, row_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, keep: list[str] | None = None) -> DataFrame:
-    """A row for each row of df: the columns keep (default: the id) and size, source_size, target, taken, copies, positions.
+def scheduled(df: DataFrame, **options) -> DataFrame:
+    """positioned() in training order: range-sorted by first position, untaken documents last."""
+    return positioned(df, **options).withColumn("first", F.try_element_at("positions", F.lit(1))).orderBy(F.col("first").asc_nulls_last(), "u", "id").drop("first", "u", "id")
+
+
+def positioned(df: DataFrame, row_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, keep: list[str] | None = None) -> DataFrame:
+    """A row for each row of df: `row` with the columns keep (default: the id), size, source_size, target, taken, copies, positions; u and id order them.
 
     size: words of the text (null: 0). copies: how often the mix takes the document, 0 to 2; taken = copies * size. A
     source's target is so many whole passes over its documents and a rest; the documents whose middle lies within the
     rest, in hash order of their ids, are taken once more. So a source misses its target by one document at most.
-    positions: training time of each copy, from 0 to 1. Rows come range-sorted by first position, untaken ones last.
+    positions: training time of each copy, from 0 to 1.
 
     Null sources are a source of their own, the last. Null ids share a hash and stay apart from other rows. Equal ids
     are ordered by size; equal rows may change places, which changes nothing. An empty table gives an empty result, a
@@ -70,13 +75,17 @@ def scheduled(df: DataFrame, row_id: str = "doc_id", source: str = "source", tex
     keep = [row_id] if keep is None else keep
     given = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{row_id}`").alias("id"), source_key(F.col(f"`{source}`")).alias("key"), word_count(F.col(f"`{text}`")).alias("size"))
     given = given.withColumn("u", F.coalesce(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(0)))
-    given = saved(given, "sizes")
-    n = given.count()
+    if text in keep:  # texts are read again rather than written once more
+        slim = saved(given.select("key", "size", "u"), "sizes")
+    else:
+        given = slim = saved(given, "sizes")
+    n = slim.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
-    given = given.withColumn("part", F.expr(f"(u * {ranges}) div 4294967296"))
-    parts = given.groupBy("key", "part").agg(F.sum("size").alias("part_size"))
+    part = F.expr(f"(u * {ranges}) div 4294967296")
+    given, slim = given.withColumn("part", part), slim.withColumn("part", part)
+    parts = slim.groupBy("key", "part").agg(F.sum("size").alias("part_size"))
     parts = parts.withColumn("before", F.sum("part_size").over(Window.partitionBy("key").orderBy("part")) - F.col("part_size"))
-    sizes = targets(given.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share)
+    sizes = targets(slim.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share)
     parts = parts.join(sizes, "key")
     own = Window.partitionBy("key", "part").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = given.join(parts, ["key", "part"]).withColumn("middle", F.col("before") + F.sum("size").over(own) - F.col("size") / 2)
@@ -86,17 +95,15 @@ def scheduled(df: DataFrame, row_id: str = "doc_id", source: str = "source", tex
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.least(F.col("copies"), F.lit(MOST_EPOCHS))).otherwise(F.least(F.col("copies"), F.lit(1))))
     when = F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies"), F.lit(1)) - 1), lambda k: time_of(F.least(F.lit(1.0), (k * F.col("source_size") + F.col("middle")) / F.col("target")), F.col("slope")))
     rows = rows.withColumn("positions", F.when((F.col("copies") > 0) & (F.col("target") > 0), when).otherwise(F.array().cast("array<double>")))
-    rows = rows.withColumn("first", F.try_element_at("positions", F.lit(1)))
-    rows = rows.orderBy(F.col("first").asc_nulls_last(), "u", "id")
     made = [F.col(c) for c in ("size", "source_size", "target")] + [(F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "positions"]
-    return rows.select("row", *made)
+    return rows.select("row", *made, "u", "id")
 
 
 def mix(df: DataFrame, **options) -> DataFrame:
-    """df's columns: each document as often as the mix takes it, in training order. Options: see scheduled()."""
+    """df's columns: each document as often as the mix takes it, in training order. Options: see positioned()."""
     columns = df.columns
-    rows = scheduled(df, keep=columns, **options)
-    copies = rows.filter("copies > 0").select("row", F.posexplode_outer("positions").alias("k", "at"))
-    copies = copies.orderBy(F.col("at").asc_nulls_last(), f"row.`{options.get('row_id', 'doc_id')}`", "k")
+    rows = positioned(df, keep=columns, **options)
+    copies = rows.filter("copies > 0").select("row", "u", "id", F.posexplode_outer("positions").alias("k", "at"))
+    copies = copies.orderBy(F.col("at").asc_nulls_last(), "u", "id", "k")
     return copies.select(*[F.col(f"row.`{c}`") for c in columns])
 
