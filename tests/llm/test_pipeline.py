@@ -6,7 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
-from test_operators import brute_components, brute_quality, brute_targets, words_of
+from test_corpus_operators import brute_components, brute_quality, brute_targets, words_of
 
 import corpus_pipeline
 from lodestar.llm import quality, queries
