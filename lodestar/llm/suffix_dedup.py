@@ -7,7 +7,7 @@ over all executors by their next SUFFIX words, then by the words in front read b
 neighbour in this order. A match is extended right by the common prefix and left by the common words in front; matches
 of MIN_WORDS words or more are repeats. Longer repeats are the union of the matches at their minimisers.
 
-Words are 3-byte hashes in the sort key, so that a match may come out one word too long once in 16 million comparisons.
+Words are 4-byte hashes in the sort key, so that a match may come out one word too long once in 4 billion comparisons.
 """
 
 from __future__ import annotations
@@ -24,45 +24,61 @@ from .repeats import WIDE, Plan, among, chunked, keys, packed, per_chunk, repeat
 
 MIN_WORDS = 50
 K = 20
-BYTES = 3
+BYTES = 4
 #: How many suffixes on either side in the order each one is compared with. The nearest has the longest common prefix;
 #: a farther one may match less to the right and more to the left.
 NEIGHBOURS = 8
 
 
+def sliding(values: np.ndarray, span: int, pick: np.ufunc) -> np.ndarray:
+    """pick (minimum or maximum) over every span consecutive values, by doubling."""
+    size = len(values) - span + 1
+    out, width = values, 1
+    while 2 * width <= span:
+        out, width = pick(out[:-width], out[width:]), 2 * width
+    return pick(out[:size], out[span - width : span - width + size])
+
+
 def minimisers(w, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the smallest k-word hash of every span consecutive places of a text, and these hashes."""
+    """Places whose k-word hash is the smallest of some span consecutive places of a text, and these hashes.
+
+    Equal smallest hashes all count, so that the choice hangs on the words alone.
+    """
     h = rolling(w.hashes, k)
-    starts = np.flatnonzero(w.left[: max(0, len(h) - span + 1)] >= k + span - 1)
-    if not len(starts):
-        return starts, np.zeros(0, np.uint64)
-    order = mix(h ^ np.uint64(0x5851F42D4C957F2D))
-    least = order[starts].copy()
-    at = starts.copy()
-    for step in range(1, span):
-        other = order[starts + step]
-        lower = other < least
-        least[lower] = other[lower]
-        at[lower] = starts[lower] + step
-    at = np.unique(at)
+    size = len(h) - span + 1
+    if size < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    order = mix(h ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+    least = sliding(order, span, np.minimum)
+    least[w.left[:size] < k + span - 1] = 0  # these would reach into the next text
+    none = np.zeros(span - 1, np.uint64)
+    at = np.flatnonzero(sliding(np.concatenate((none, least, none)), span, np.maximum) == order)
     return at, h[at]
 
 
-def around(w, at: np.ndarray, size: int, forward: bool) -> np.ndarray:
-    """size words from each place on (forward) or in front of it, backwards: 3 bytes each, zero past the text's ends."""
+def around(w, at: np.ndarray, size: int, forward: bool) -> pa.Array:
+    """size words from each place on (forward) or in front of it, backwards: 4 bytes each, zero past the text's ends."""
     steps = np.arange(size) if forward else -1 - np.arange(size)
     places = at[:, None] + steps
     inside = (places >= w.starts[w.doc[at]][:, None]) & (places < w.starts[w.doc[at] + 1][:, None])
-    values = (w.hashes[np.clip(places, 0, max(len(w.hashes) - 1, 0))] % np.uint64((1 << 24) - 1)).astype(np.uint32) + np.uint32(1)
+    values = (w.hashes % np.uint64((1 << 32) - 1)).astype(np.uint32) + np.uint32(1)
+    values = values[np.clip(places, 0, max(len(w.hashes) - 1, 0))]
     values[~inside] = 0
-    return values.astype(">u4").view(np.uint8).reshape(len(at), size, 4)[:, :, 1:].reshape(len(at), size * BYTES)
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size * BYTES), len(at), [None, pa.py_buffer(values.astype(">u4").tobytes())])
+    return fixed.cast(pa.binary())
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of binaries of one length, as rows of words."""
+    a = column.combine_chunks()
+    ends = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
+    return np.frombuffer(a.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32).reshape(len(a), -1)
 
 
-def common(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Leading equal words of the rows of a and b, not counting places past a text's end."""
-    a, b = a.reshape(len(a), size, BYTES), b.reshape(len(b), size, BYTES)
-    same = (a == b).all(axis=2) & (a != 0).any(axis=2)
-    return np.where(same.all(axis=1), size, np.argmin(same, axis=1))
+    same = (a == b) & (a != 0)
+    return np.where(same.all(axis=1), a.shape[1], np.argmin(same, axis=1))
 
 
 def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
@@ -93,8 +109,8 @@ def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text",
             at, h = minimisers(w, k, span)
             at = at[among(keys(h, buckets, WIDE), known(found, WIDE))]
         doc = w.doc[at] if len(at) else at
-        rows = {"suffix": [r.tobytes() for r in around(w, at, ahead, True)] if len(at) else [], "front": [r.tobytes() for r in around(w, at, back, False)] if len(at) else []}
-        out = {n: pa.array(v, pa.binary()) for n, v in rows.items()}
+        none = pa.array([], pa.binary())
+        out = {"suffix": around(w, at, ahead, True) if len(at) else none, "front": around(w, at, back, False) if len(at) else none}
         out |= {n: table[n].take(pa.array(doc)) for n in ("id", "key")}
         return pa.table(out | {"at": pa.array(at - w.starts[doc] if len(at) else at, pa.int32())})
 
@@ -118,7 +134,7 @@ def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text",
             if waiting is not None:
                 t = pa.concat_tables([waiting[0], t])
                 left, right = np.concatenate((waiting[1], left)), np.concatenate((waiting[2], right))
-            extend(t, left, right, ahead, back, min_words)
+            extend(t, left, right, min_words)
             done = max(0, t.num_rows - NEIGHBOURS)
             yield from shown(t.slice(0, done), part, left[:done], right[:done], first, False)
             first = first and not done
@@ -134,7 +150,7 @@ def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text",
         if a["part"] != b["part"]:
             t = pa.table({"suffix": pa.array([a["suffix"], b["suffix"]], pa.binary()), "front": pa.array([a["front"], b["front"]], pa.binary())})
             left, right = np.zeros(2, np.int64), np.zeros(2, np.int64)
-            extend(t, left, right, ahead, back, min_words)
+            extend(t, left, right, min_words)
             more += [(r["id"], r["key"], r["at"], int(left[i]), int(right[i])) for i, r in enumerate((a, b)) if right[i]]
     matches = kept.select("id", "key", "at", "front_words", "next_words").filter("next_words > 0")
     if more:
@@ -146,19 +162,19 @@ def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     return merged.select(F.col("id").alias(row_id), F.col("key").alias("text_key"), covered.alias("n_repeated"), "spans")
 
 
-def extend(t: pa.Table, left: np.ndarray, right: np.ndarray, ahead: int, back: int, min_words: int) -> None:
+def extend(t: pa.Table, left: np.ndarray, right: np.ndarray, min_words: int) -> None:
     """Raise left and right of each two rows, up to NEIGHBOURS apart, that match in min_words words or more."""
     if t.num_rows < 2:
         return
-    fixed = lambda c: np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(t.num_rows, -1)
-    s, f = fixed("suffix"), fixed("front")
+    s, f = matrix(t["suffix"]), matrix(t["front"])
     for step in range(1, min(NEIGHBOURS, t.num_rows - 1) + 1):
-        r, b = common(s[:-step], s[step:], ahead), common(f[:-step], f[step:], back)
+        at = np.flatnonzero(s[:-step, 0] == s[step:, 0])
+        r, b = common(s[at], s[at + step]), common(f[at], f[at + step])
         good = r + b >= min_words
-        for side, value in ((left, b), (right, r)):
-            value = np.where(good, value, 0)
-            np.maximum(side[:-step], value, out=side[:-step])
-            np.maximum(side[step:], value, out=side[step:])
+        at = at[good]
+        for side, value in ((left, b[good]), (right, r[good])):
+            side[at] = np.maximum(side[at], value)
+            side[at + step] = np.maximum(side[at + step], value)
 
 
 def shown(t: pa.Table, part: int, left: np.ndarray, right: np.ndarray, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
