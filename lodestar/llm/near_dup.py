@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, binary, free_name, mix, rolling, saved, slices
+from .common import Words, binary, bucketed, forget, free_name, mix, release, rolling, saved, slices
 
 SHINGLE, PERCENT = 5, 80
 K, INDEXED = 64, 24
 #: Lists up to this length are gone through pair by pair; longer ones in blocks.
 SHORT = 32
 BLOCK = 256
+#: Links in one file of a table that a distinct step ends, and the least number of files.
+FILE_ROWS, LEAST_FILES = 1 << 20, 8
 #: Standard deviations of the estimate that a pair may lie under the threshold and still be confirmed.
 SLACK = 4.0
 PAD = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -174,18 +176,27 @@ def block_tasks(outside: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(rep, comp): for each document with a link, the smallest one reachable. Labels spread and jump until none changes."""
+    """(rep, comp): for each document with a link, the smallest one reachable. Labels spread and jump until none changes.
+
+    Rows are two numbers each, so that a round's table is kept in files of FILE_ROWS rows rather than one for each task.
+    """
+    files = max(LEAST_FILES, -(-edges.count() // FILE_ROWS))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = saved(both, "edges")
-    labels = saved(both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("m")).select("rep", F.least("rep", "m").alias("comp")), "labels")
+    both = saved(both.coalesce(files), "edges")
+    labels = saved(both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("m")).select("rep", F.least("rep", "m").alias("comp")).coalesce(files), "labels")
     while True:
+        before = labels
         near = both.join(labels.select(F.col("rep").alias("b"), "comp"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "rep").select("rep", "comp", F.least("comp", "near").alias("low"))
         jump = labels.select(F.col("rep").alias("low"), F.col("comp").alias("lower"))
-        step = saved(step.join(jump, "low").select("rep", F.col("comp").alias("old"), F.least("low", "lower").alias("comp")), "labels")
+        step = saved(step.join(jump, "low").select("rep", F.col("comp").alias("old"), F.least("low", "lower").alias("comp")).coalesce(files), "labels")
+        forget(before)
         labels = step.select("rep", "comp")
-        if not step.filter("old <> comp").head(1):
+        changed = bool(step.filter("old <> comp").head(1))
+        if not changed:
+            forget(both)
             return labels
+        labels.saved_at = step.saved_at
 
 
 def with_components(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -209,6 +220,11 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", s
     id has no component_id and is kept: it can't be named. Rows with equal ids are one document with several texts, and
     linked. Other columns are not read. An empty table gives an empty result.
     """
+    return linked(bucketed(df.select(F.col(f"`{row_id}`"), F.col(f"`{text}`")), "texts", row_id), row_id, text, shingle, percent)
+
+
+def linked(df: DataFrame, row_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """near_duplicates() of a table bucketed by its id: texts are then read where they lie when pairs are confirmed."""
     rows = saved(sketches(df, row_id, text, shingle), "sketches")
     own = rows.filter("h1 is not null and id is not null")
     classes = own.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
@@ -219,12 +235,17 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", s
     stars = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("first")).filter("size > 1")
     lists = saved(lists.join(stars, "key"), "lists")
     pairs = lists.filter((F.col("first.rep") < F.col("rep")) & near_enough(F.col("n"), F.col("first.n"), percent)).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = saved(confirmed(pair_tasks(saved(estimated(pairs, reps, percent), "pairs")), texts, shingle, percent), "links")
+    pairs = saved(estimated(pairs, reps, percent), "pairs")
+    files = max(LEAST_FILES, reps.count() // FILE_ROWS)
+    edges = saved(confirmed(pair_tasks(pairs), texts, shingle, percent).coalesce(files), "links")
+    forget(pairs)
+    release(df.sparkSession)
     labels = components(edges)
 
-    lists = with_components(lists.select("key", "rep", "n", "size"), labels)
-    mixed = lists.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    lists = saved(lists.join(mixed, "key"), "mixed-lists")
+    found = with_components(lists.select("key", "rep", "n", "size"), labels)
+    mixed = found.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    all_lists, lists = lists, saved(found.join(mixed, "key"), "mixed-lists")
+    forget(all_lists)
     long_ = lists.filter(F.col("size") > SHORT).select("rep").distinct()
     runs = postings(reps.join(long_, "rep", "left_semi"), K, 3)
     sizes = runs.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -234,10 +255,13 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", s
     parts = runs.filter(F.col("size") > SHORT).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("key").agg(F.max(F.struct(F.col("c"), F.col("comp"))).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     outside = runs.join(largest.select("key", F.col("top.comp").alias("main")), "key").filter("comp <> main").select("rep", F.col("main").alias("comp")).distinct()
-    outside = saved(outside, "outside")
+    outside = saved(outside.coalesce(files), "outside")
+    release(df.sparkSession)
     members = with_components(reps.select("rep"), labels)
     tasks = pair_tasks(pairs).unionByName(block_tasks(outside, members))
-    more = saved(confirmed(tasks, texts, shingle, percent), "more-links")
+    more = saved(confirmed(tasks, texts, shingle, percent).coalesce(files), "more-links")
+    forget(lists, runs, pairs, outside)
+    release(df.sparkSession)
     if more.head(1):
         labels = components(edges.unionByName(more))
 
@@ -261,8 +285,9 @@ def by_id(rows: DataFrame, shared: DataFrame, named: DataFrame) -> DataFrame:
     return named.join(lower, "comp", "left").select("h1", "h2", F.coalesce("low", "comp").alias("comp"))
 
 
-def one_of_each(df: DataFrame, row_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def one_of_each(df: DataFrame, row_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """df's columns: of each component the rows of its smallest id, and every row that is linked with nothing."""
-    gone = near_duplicates(df, row_id, text, **options).filter("not kept").select(F.col(row_id).alias("gone_id")).distinct()
+    df = bucketed(df, "documents", row_id)
+    gone = linked(df, row_id, text, shingle, percent).filter("not kept").select(F.col(row_id).alias("gone_id")).distinct()
     key = free_name(df, "gone_id")
     return df.join(gone.withColumnRenamed("gone_id", key), F.col(f"`{row_id}`") == F.col(f"`{key}`"), "left_anti")
