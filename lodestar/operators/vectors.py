@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions.columns import dot
 from ..model import Weights
 
@@ -60,3 +61,15 @@ def blend(hits: DataFrame, known: DataFrame, best_name: float, w: Weights | None
 def stale(vectors: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What to embed anew (no vector of this digest) and which vectors to drop (no live row)."""
     return live.join(vectors.select("id", "digest"), ["id", "digest"], "left_anti"), vectors.join(live.select("id"), "id", "left_anti")
+
+
+def embed_text(symbols: DataFrame) -> DataFrame:
+    """(id, text, digest) of symbols to embed: kind, words of the name, signature, doc and path."""
+    words = F.array_join(C.identifier_words(F.col("name")), " ")
+    text = F.concat_ws(" ", "kind", words, "signature", "doc_summary", "path")
+    return symbols.select("id", text.alias("text")).withColumn("digest", F.sha2("text", 256))
+
+
+def needs_compaction(live: int, dead: int) -> bool:
+    """Rewrite a store with over a quarter of dead rows, or a small one with any."""
+    return dead > 0 and (dead * 4 > live + dead or live + dead < 4096)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .. import bindings as B
 from ..functions import columns as C
 from ..functions.text import INTENTS, STOP_WORDS
-from ..operators import history, memory, ranking, reports, search, vectors
+from ..operators import graph, history, memory, ranking, reports, search, vectors
 from ..plans import ask as plans
+from ..plans import explore
 from .code import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -229,3 +230,75 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     g = B.table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("events"))
     return g.select("user_id", F.col("w.start").alias("start"), "events")
 
+
+@query("SELECT p_partkey AS id, p_name AS name, lower(p_type) AS kind, 1 AS start_line, p_size AS end_line, 0 AS depth FROM part WHERE p_brand = 'Brand#7'")
+def file_outline(spark: SparkSession, d: str) -> DataFrame:
+    return explore.file_outline(B.symbols(spark, d), "Brand#7")
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN lower(p_type) IN ('struct') THEN 0 ELSE 2 END AS r FROM part WHERE lower(p_name) = 'red bolt'),
+b AS (SELECT p_partkey, p_name, p_brand FROM m ORDER BY (p_name = 'red bolt') DESC, p_size - 1 DESC, (p_size > 25) DESC, p_partkey LIMIT 1),
+s AS (SELECT 'sibling' AS role, p.p_partkey AS id, p.p_name AS name, p.p_brand AS path FROM part p, b WHERE p.p_brand = b.p_brand AND p.p_partkey <> b.p_partkey ORDER BY (p_size > 25) DESC, p_size DESC, p.p_partkey LIMIT 8),
+o AS (SELECT 'other' AS role, p.p_partkey AS id, p.p_name AS name, p.p_brand AS path FROM part p, b WHERE lower(p.p_name) = 'red bolt' AND p.p_brand <> b.p_brand ORDER BY p.p_partkey LIMIT 8)
+SELECT 'best' AS role, p_partkey AS id, p_name AS name, p_brand AS path FROM b UNION ALL SELECT * FROM s UNION ALL SELECT * FROM o""")
+def explore_symbol(spark: SparkSession, d: str) -> DataFrame:
+    return explore.explore_symbol(B.symbols(spark, d), "red bolt", "medium")
+
+
+@query(f"WITH l AS ({LINES}) SELECT path, string_agg(text, chr(10) ORDER BY line) AS text, count(*) AS lines, true AS cut FROM l WHERE path = 10 AND line BETWEEN 1 AND 3 GROUP BY path")
+def symbol_snippet(spark: SparkSession, d: str) -> DataFrame:
+    return explore.snippet(B.doc_lines(spark, d), 10, 1, 50, most=3)
+
+
+@query("SELECT p_partkey AS id, degree FROM (SELECT l_partkey, count(DISTINCT l_suppkey) AS degree FROM lineitem GROUP BY 1) JOIN part ON p_partkey = l_partkey ORDER BY degree DESC, id LIMIT 10")
+def key_symbols_by_degree(spark: SparkSession, d: str) -> DataFrame:
+    edges = B.calls(spark, d).select((-1 - F.col("source_id")).alias("source"), F.col("target_id").alias("target"))
+    return B.symbols(spark, d).select("id").join(graph.degrees(edges), "id").orderBy(F.desc("degree"), "id").limit(10)
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS t FROM lineitem), n AS (SELECT t AS seed, count(*) AS entries, CAST(sum(CASE WHEN s % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS test_files FROM e WHERE t < 200 GROUP BY t)
+SELECT seed, entries, test_files, CASE WHEN entries > 20 OR test_files > 5 THEN 'HIGH' WHEN entries > 5 OR test_files > 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM n""")
+def blast_radius_risk(spark: SparkSession, d: str) -> DataFrame:
+    edges = B.calls(spark, d).select((-1 - F.col("source_id")).alias("source"), F.col("target_id").alias("target"))
+    tests = B.table(spark, d, "supplier").filter("s_suppkey % 10 = 0").select((-1 - F.col("s_suppkey")).alias("id"))
+    seeds = B.table(spark, d, "part").filter("p_partkey < 200").select(F.col("p_partkey").alias("seed"), F.col("p_partkey").alias("id"))
+    return graph.blast_radius(edges, seeds, tests, 3)
+
+
+@query("""SELECT doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'own' WHEN doc_id % 2 = 0 THEN 'said ' || doc_id END AS purpose, CASE WHEN doc_id % 3 = 0 THEN 'doc' WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 4 = 0 THEN 'agent' ELSE 'agent-stale' END END AS purpose_source FROM documents""")
+def annotation_merge(spark: SparkSession, d: str) -> DataFrame:
+    own = F.col("doc_id") % 3 == 0
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"), F.when(own, "own").alias("purpose"), F.when(own, "doc").alias("purpose_source"))
+    said = docs.filter("path % 2 = 0").select("path", F.concat(F.lit("said "), F.col("path").cast("string")).alias("purpose"), F.when(F.col("path") % 4 == 0, F.col("hash")).otherwise("old").alias("content_hash"))
+    return reports.apply_annotations(docs, said).drop("hash")
+
+
+@query("SELECT count(*) AS todo FROM documents WHERE doc_id % 4 <> 0")
+def vector_stale(spark: SparkSession, d: str) -> DataFrame:
+    live = B.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"))
+    stored = live.filter("id % 4 < 2").withColumn("digest", F.when(F.col("id") % 4 == 1, "old").otherwise(F.col("digest")))
+    todo, _ = vectors.stale(stored, live)
+    return todo.agg(F.count(F.lit(1)).alias("todo"))
+
+
+@query(f"WITH e AS ({ENTRIES}), t AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(content), '[^\\pL\\pN_]+')) AS term FROM e) SELECT term, count(*) AS entries FROM t WHERE strlen(term) >= 3 AND term NOT IN ({STOPS}) GROUP BY term HAVING count(*) >= 10")
+def memory_postings(spark: SparkSession, d: str) -> DataFrame:
+    return memory.postings(B.project_memory(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("entries")).filter("entries >= 10")
+
+
+@query("SELECT 'src' || (doc_id % 4) AS id, CAST(sum(DISTINCT n_chars * 100000 + doc_id) // 100000 AS BIGINT) AS raw_bytes FROM documents WHERE doc_id < 40 GROUP BY 1")
+def raw_baseline(spark: SparkSession, d: str) -> DataFrame:
+    docs = B.table(spark, d, "documents").filter("doc_id < 40").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.concat(F.lit("src"), (F.col("doc_id") % 4).cast("string")).alias("id"))
+    results = docs.groupBy("id").agg(F.to_json(F.array_union(F.collect_list(F.struct("path")), F.collect_list(F.struct("path")))).alias("json"))
+    return reports.raw_baseline(results, docs.select("path", "size"))
+
+
+@query("SELECT count(*) AS files, (SELECT count(*) FROM part) AS symbols FROM documents")
+def index_status(spark: SparkSession, d: str) -> DataFrame:
+    return reports.status(B.doc_files(spark, d), B.symbols(spark, d)).select("files", "symbols")
+
+
+@query()
+def onboard(spark: SparkSession, d: str) -> DataFrame:
+    edges = B.calls(spark, d).select((-1 - F.col("source_id")).alias("source"), F.col("target_id").alias("target"))
+    return explore.onboard(B.doc_files(spark, d), B.symbols(spark, d), edges)

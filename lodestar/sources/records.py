@@ -115,3 +115,46 @@ def pathless(rel: str, root: str) -> str | None:
     """A path relative to root; None for one outside."""
     full = os.path.normpath(os.path.join(root, rel))
     return os.path.relpath(full, root) if full == root or full.startswith(root.rstrip("/") + "/") else None
+
+
+def blame(spark: SparkSession, root: str, path: str, start: int, end: int) -> DataFrame:
+    """(path, line, hash, author, ts) of the lines start to end."""
+    text = git(root, "blame", "--porcelain", "-L", f"{start},{end}", "--", path)
+    return parse_blame(spark, path, text)
+
+
+def parse_blame(spark: SparkSession, path: str, text: str) -> DataFrame:
+    """Porcelain blame: heads are given once a commit and remembered."""
+    rows, heads, now = [], {}, None
+    for line in text.split("\n"):
+        if m := re.match(r"^([0-9a-f]{40}) \d+ (\d+)", line):
+            now = (m[1], int(m[2]))
+            heads.setdefault(m[1], {})
+        elif line.startswith("\t") and now:
+            h = heads[now[0]]
+            rows.append((path, now[1], now[0][:8], h.get("author"), int(h["author-time"]) if "author-time" in h else None))
+        elif now and " " in line:
+            key, _, value = line.partition(" ")
+            heads[now[0]].setdefault(key, value)
+    df = spark.createDataFrame(rows, "path string, line int, hash string, author string, seconds long")
+    return df.withColumn("ts", F.timestamp_seconds("seconds")).drop("seconds")
+
+
+def update_entry(folder: str, key: str, **changes: object) -> dict:
+    """Change a memory file's fields; status can be set to active or archived."""
+    if changes.get("status", "active") not in ("active", "archived"):
+        raise ValueError("status is active or archived")
+    entry = parse_entry(Path(folder, f"{key}.md").read_text()) | changes
+    write_entry(folder, entry)
+    return entry
+
+
+def remove_entry(folder: str, key: str) -> None:
+    Path(folder, f"{key}.md").unlink()
+
+
+def hook_path(payload: str, root: str) -> str | None:
+    """The edited file of an editor hook's JSON, relative to root; None if it is elsewhere or missing."""
+    found = json.loads(payload).get("tool_input", {}).get("file_path")
+    rel = pathless(found, root) if found else None
+    return rel
