@@ -233,7 +233,9 @@ def linked(df: DataFrame, row_id: str, text: str, shingle: int, percent: int) ->
 
     lists = postings(reps, INDEXED, 2)
     stars = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("first")).filter("size > 1")
+    stars = saved(stars, "stars")  # a table, so that adaptive execution may split the join's hot keys
     lists = saved(lists.join(stars, "key"), "lists")
+    forget(stars)
     pairs = lists.filter((F.col("first.rep") < F.col("rep")) & near_enough(F.col("n"), F.col("first.n"), percent)).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = saved(estimated(pairs, reps, percent), "pairs")
     files = max(LEAST_FILES, reps.count() // FILE_ROWS)
@@ -244,23 +246,26 @@ def linked(df: DataFrame, row_id: str, text: str, shingle: int, percent: int) ->
 
     found = with_components(lists.select("key", "rep", "n", "size"), labels)
     mixed = found.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    mixed = saved(mixed.coalesce(files), "mixed")
     all_lists, lists = lists, saved(found.join(mixed, "key"), "mixed-lists")
-    forget(all_lists)
+    forget(all_lists, mixed)
     long_ = lists.filter(F.col("size") > SHORT).select("rep").distinct()
     runs = postings(reps.join(long_, "rep", "left_semi"), K, 3)
-    sizes = runs.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = saved(runs.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "run-sizes")
     runs = saved(with_components(runs.join(sizes, "key"), labels), "run-lists")
+    forget(sizes)
     pairs = across(lists.filter(F.col("size") <= SHORT), percent).unionByName(across(runs.filter(F.col("size") <= SHORT), percent)).distinct()
     pairs = saved(estimated(pairs, reps, percent), "pairs")
     parts = runs.filter(F.col("size") > SHORT).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("key").agg(F.max(F.struct(F.col("c"), F.col("comp"))).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    largest = saved(largest.coalesce(files), "largest")
     outside = runs.join(largest.select("key", F.col("top.comp").alias("main")), "key").filter("comp <> main").select("rep", F.col("main").alias("comp")).distinct()
     outside = saved(outside.coalesce(files), "outside")
     release(df.sparkSession)
     members = with_components(reps.select("rep"), labels)
     tasks = pair_tasks(pairs).unionByName(block_tasks(outside, members))
     more = saved(confirmed(tasks, texts, shingle, percent).coalesce(files), "more-links")
-    forget(lists, runs, pairs, outside)
+    forget(lists, runs, largest, pairs, outside)
     release(df.sparkSession)
     if more.head(1):
         labels = components(edges.unionByName(more))
