@@ -29,7 +29,7 @@ K, INDEXED = 64, 24
 #: Lists up to this length are gone through pair by pair; longer ones in blocks.
 SHORT = 32
 BLOCK = 256
-#: Links in one file of a table that a distinct step ends, and the least number of files.
+#: Rows in one file of a table behind a shuffle, about, and the least number of files.
 FILE_ROWS, LEAST_FILES = 1 << 20, 8
 #: Standard deviations of the estimate that a pair may lie under the threshold and still be confirmed.
 SLACK = 4.0
@@ -165,10 +165,11 @@ def block_tasks(outside: DataFrame, members: DataFrame) -> DataFrame:
 
     outside: (rep, comp), members: (rep, comp).
     """
-    wanted = members.join(outside.select("comp").distinct(), "comp", "left_semi")
-    rights = wanted.select("rep", "comp").unionByName(outside.select("rep", "comp"))
-    blocks = lambda d, c: d.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(c))
-    counts = blocks(outside, "nl").join(blocks(rights, "nr"), "comp")
+    size = lambda d, c: d.groupBy("comp").agg(F.count(F.lit(1)).alias(c))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = size(outside, "o").join(size(members, "m"), "comp").select("comp", blocks(F.col("o")).alias("nl"), blocks(F.col("m") + F.col("o")).alias("nr"))
+    counts = saved(counts.coalesce(LEAST_FILES), "blocks")  # a table, so that adaptive execution may split a large component
+    rights = members.select("rep", "comp").unionByName(outside.select("rep", "comp"))
     spread_ = lambda d, own, other: d.join(counts, "comp").select("rep", "comp", F.pmod(F.xxhash64("rep"), F.col(own)).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"))
     left = spread_(outside, "nl", "nr").select(F.col("rep").alias("id"), F.concat_ws("/", F.lit("b"), "comp", "mine", "theirs").alias("task"), F.lit(True).alias("left"))
     right = spread_(rights, "nr", "nl").select(F.col("rep").alias("id"), F.concat_ws("/", F.lit("b"), "comp", "theirs", "mine").alias("task"), F.lit(False).alias("left"))
@@ -226,19 +227,19 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", s
 def linked(df: DataFrame, row_id: str, text: str, shingle: int, percent: int) -> DataFrame:
     """near_duplicates() of a table bucketed by its id: texts are then read where they lie when pairs are confirmed."""
     rows = saved(sketches(df, row_id, text, shingle), "sketches")
+    files = max(LEAST_FILES, rows.count() * INDEXED // FILE_ROWS)  # steps behind a shuffle write files of about FILE_ROWS rows
     own = rows.filter("h1 is not null and id is not null")
     classes = own.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    reps = saved(own.join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"]).select(F.col("id").alias("rep"), "n", "h1", "h2", "sketch").dropDuplicates(["rep", "h1", "h2"]), "classes")
+    reps = saved(own.join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"]).select(F.col("id").alias("rep"), "n", "h1", "h2", "sketch").dropDuplicates(["rep", "h1", "h2"]).coalesce(files), "classes")
     texts = df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("id is not null")
 
     lists = postings(reps, INDEXED, 2)
     stars = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("first")).filter("size > 1")
-    stars = saved(stars, "stars")  # a table, so that adaptive execution may split the join's hot keys
-    lists = saved(lists.join(stars, "key"), "lists")
+    stars = saved(stars.coalesce(files), "stars")  # a table, so that adaptive execution may split the join's hot keys
+    lists = saved(lists.join(stars, "key").coalesce(files), "lists")
     forget(stars)
     pairs = lists.filter((F.col("first.rep") < F.col("rep")) & near_enough(F.col("n"), F.col("first.n"), percent)).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = saved(estimated(pairs, reps, percent), "pairs")
-    files = max(LEAST_FILES, reps.count() // FILE_ROWS)
+    pairs = saved(estimated(pairs, reps, percent).coalesce(files), "pairs")
     edges = saved(confirmed(pair_tasks(pairs), texts, shingle, percent).coalesce(files), "links")
     forget(pairs)
     release(df.sparkSession)
@@ -247,15 +248,15 @@ def linked(df: DataFrame, row_id: str, text: str, shingle: int, percent: int) ->
     found = with_components(lists.select("key", "rep", "n", "size"), labels)
     mixed = found.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
     mixed = saved(mixed.coalesce(files), "mixed")
-    all_lists, lists = lists, saved(found.join(mixed, "key"), "mixed-lists")
+    all_lists, lists = lists, saved(found.join(mixed, "key").coalesce(files), "mixed-lists")
     forget(all_lists, mixed)
     long_ = lists.filter(F.col("size") > SHORT).select("rep").distinct()
     runs = postings(reps.join(long_, "rep", "left_semi"), K, 3)
-    sizes = saved(runs.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "run-sizes")
-    runs = saved(with_components(runs.join(sizes, "key"), labels), "run-lists")
+    sizes = saved(runs.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").coalesce(files), "run-sizes")
+    runs = saved(with_components(runs.join(sizes, "key"), labels).coalesce(files), "run-lists")
     forget(sizes)
     pairs = across(lists.filter(F.col("size") <= SHORT), percent).unionByName(across(runs.filter(F.col("size") <= SHORT), percent)).distinct()
-    pairs = saved(estimated(pairs, reps, percent), "pairs")
+    pairs = saved(estimated(pairs, reps, percent).coalesce(files), "pairs")
     parts = runs.filter(F.col("size") > SHORT).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("key").agg(F.max(F.struct(F.col("c"), F.col("comp"))).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     largest = saved(largest.coalesce(files), "largest")
