@@ -1,11 +1,12 @@
 """Benchmark decontamination by templates, in DataFrame functions alone.
 
 Texts become templates: numbers, names (capitalised words within a sentence) and units behind a number turn into typed
-placeholders, the rest is lower-cased and loses its punctuation. Template windows are hashed: of benchmark items the
-window at every place, of documents only every stride-th, which meets every shared run of WINDOW + stride - 1 tokens
-(at most RUN). Hash hits give (document, item, offset) candidates. Each candidate is then laid side by side with its
-item, token by token, and its slots are checked: one value of the item must stand for one value of the document and
-the other way round. So a question with other numbers or names is caught, and a text that only looks alike is not.
+placeholders, the rest is lower-cased and loses its punctuation. Pairs of template tokens up to some places apart are
+hashed, of items and documents alike: RUN agreeing tokens can't all lie farther apart than the longest item leaves room
+for, so that every alignment with enough agreeing tokens shares pairs, wherever tokens were changed, and for each item a
+least number of them is known. Alignments that share so many are laid side by side with the item, token by token, and
+their slots are checked: one value of the item must stand for one value of the document and the other way round. So a
+question with other numbers or names is caught, and a text that only looks alike is not.
 """
 
 from __future__ import annotations
@@ -15,14 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import free_name, saved
 
-WINDOW = 8
 #: Tokens that must agree along one alignment; all of them for a shorter item.
 RUN = 13
-#: Tokens of a window that must be words, not placeholders, to say anything.
+#: Agreeing tokens that must be words, not placeholders, to say anything.
 LEAST_WORDS = 4
 #: An item of fewer tokens can't be told from chance and is never matched.
 SHORTEST = 5
-#: Rows of benchmark windows up to which they are broadcast (16 bytes each); beyond it the join shuffles.
+#: Rows of benchmark pairs up to which they are broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 #: Units of measure that turn into a placeholder behind a number.
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "oz", "lb", "lbs", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "mph", "kmh", "w", "kw", "kwh", "v", "a", "hz", "c", "f")
@@ -52,19 +52,19 @@ def templates(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
     return df.select(*keep, tokens(text).alias("tok")).withColumn("tem", template(F.col("tok")))
 
 
-def windows(tem: Column, size: int, stride: int) -> Column:
-    """Structs (at, h) of the windows at every stride-th place, from 0, that hold words enough."""
+def pairs(tem: Column, gap: Column) -> Column:
+    """Hashes of the tokens at each place and gap places on; null where both are placeholders."""
+    size = F.greatest(F.size(tem) - gap, F.lit(0))
+    return F.zip_with(F.slice(tem, F.lit(1), size), F.slice(tem, gap + 1, size), lambda x, y: F.when((x > " ") | (y > " "), F.xxhash64(x, y, gap)))
 
-    def one(at: Column) -> Column:
-        own = F.slice(tem, at + 1, F.lit(size))
-        said = F.size(F.filter(own, lambda w: w > " "))
-        return F.struct(at.alias("at"), F.when(said >= min(LEAST_WORDS, size), F.xxhash64(own)).alias("h"))
 
-    places = F.when(F.size(tem) >= size, F.sequence(F.lit(0), F.size(tem) - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(places, one), lambda w: w["h"].isNotNull())
+def exploded(df: DataFrame, gaps: int, *keep: str) -> DataFrame:
+    """(keep, at, h): the pairs of `tem` up to `gaps` places apart."""
+    each = df.select(*keep, "tem", F.explode(F.sequence(F.lit(1), F.lit(gaps))).alias("gap"))
+    return each.select(*keep, F.posexplode(pairs(F.col("tem"), F.col("gap"))).alias("at", "h")).filter("h is not null")
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, run: int = RUN) -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN) -> DataFrame:
     """(row_id, item_id, matched, item_tokens, start, slots, changed_slots, text_key), a row for each document and item that it holds.
 
     A document holds an item if along one alignment min(run, tokens of the item) template tokens agree and the slots
@@ -78,18 +78,23 @@ def contaminated(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", te
     """
     items = templates(benchmark, F.col(f"`{item_text}`"), F.col(f"`{item_id}`").alias("item")).filter(F.size("tok") >= SHORTEST).dropDuplicates(["item", "tok"])
     items = saved(items.withColumn("item_key", F.xxhash64("item", "tok")), "items")
-    shortest = items.agg(F.min(F.size("tok"))).first()[0] or run
-    size = min(window, shortest)
-    stride = max(1, min(run, shortest) - size + 1)
-    index = saved(items.select("item_key", F.explode(windows(F.col("tem"), size, 1)).alias("w")).select("item_key", F.col("w.at").alias("item_at"), F.col("w.h").alias("h")), "item-windows")
+    n = F.size("tok")
+    needed = F.least(F.lit(run), n)
+    gaps = items.agg(F.max(F.floor((n - 1) / (needed - 1)))).first()[0] or 1  # beyond it, needed tokens don't fit into the item
+    index = exploded(items, gaps, "item_key").select("item_key", F.col("at").alias("item_at"), "h")
+    marks = F.aggregate(F.sequence(F.lit(1), F.lit(gaps)), F.lit(0), lambda c, g: c + F.size(F.filter(F.zip_with(F.slice("tem", F.lit(1), F.greatest(n - g, F.lit(0))), F.slice("tem", g + 1, F.greatest(n - g, F.lit(0))), lambda x, y: (x < " ") & (y < " ")), lambda b: b)))
+    # Of the needed - 1 steps between agreeing tokens, only so many can be longer than gaps.
+    least = items.select("item_key", F.greatest(F.lit(1), needed - 1 - F.floor((n - needed) / gaps) - marks).alias("least"))
+    index = saved(index.join(least, "item_key"), "item-pairs")
     small = index.count() <= BROADCAST_ROWS
     held = F.broadcast if small else (lambda x: x)
 
     body = F.col(f"`{text}`")
     docs = df.select(F.col(f"`{row_id}`").alias("id"), body.alias("body"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("text_key"))
-    probes = templates(docs, F.col("body"), F.col("id"), F.col("text_key")).select("id", "text_key", F.explode(windows(F.col("tem"), size, stride)).alias("w"))
-    hits = probes.select("id", "text_key", F.col("w.at").alias("at"), F.col("w.h").alias("h")).join(held(index), "h")
-    candidates = saved(hits.select("id", "text_key", "item_key", (F.col("at") - F.col("item_at")).alias("start")).distinct(), "candidates")
+    probes = exploded(templates(docs, F.col("body"), F.col("id"), F.col("text_key")), gaps, "id", "text_key")
+    hits = probes.join(held(index), "h").select("id", "text_key", "item_key", (F.col("at") - F.col("item_at")).alias("start"), "least")
+    shared = hits.groupBy("id", "text_key", "item_key", "start").agg(F.count(F.lit(1)).alias("shared"), F.first("least").alias("least"))
+    candidates = saved(shared.filter("shared >= least").drop("shared", "least"), "candidates")
 
     texts = docs.withColumnRenamed("id", "doc")
     wanted = candidates.groupBy("id", "text_key").agg(F.collect_set(F.struct("item_key", "start")).alias("found"))
@@ -105,10 +110,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", te
     equal = F.filter(sides, lambda s: s["d"] == s["i"])
     laid = laid.filter(length > 0).select("id", "text_key", "item", F.col("c.start").alias("start"), F.size("item_tok").alias("item_tokens"), equal.alias("same"))
     slots = F.filter(F.col("same"), lambda s: s["d"] < " ")
-    pairs = F.transform(slots, lambda s: F.struct(s["iv"], s["dv"]))
+    values = F.transform(slots, lambda s: F.struct(s["iv"], s["dv"]))
     one = lambda side: F.size(F.array_distinct(F.transform(slots, lambda s: s[side])))
-    consistent = (F.size(F.array_distinct(pairs)) == one("iv")) & (F.size(F.array_distinct(pairs)) == one("dv"))
-    laid = laid.filter((F.size("same") >= F.least(F.lit(run), F.col("item_tokens"))) & consistent)
+    consistent = (F.size(F.array_distinct(values)) == one("iv")) & (F.size(F.array_distinct(values)) == one("dv"))
+    laid = laid.filter((F.size("same") >= F.least(F.lit(run), F.col("item_tokens"))) & (F.size("same") - F.size(slots) >= LEAST_WORDS) & consistent)
     found = laid.select("id", "text_key", "item", F.struct(F.size("same").alias("matched"), (-F.col("start")).alias("minus"), "item_tokens", F.size(slots).alias("slots"), F.size(F.filter(slots, lambda s: s["iv"] != s["dv"])).alias("changed")).alias("m"))
     best = found.groupBy("id", "text_key", "item").agg(F.max("m").alias("m"))
     return best.select(F.col("id").alias(row_id), F.col("item").alias(item_id), F.col("m.matched").alias("matched"), F.col("m.item_tokens").alias("item_tokens"), (-F.col("m.minus")).alias("start"), F.col("m.slots").alias("slots"), F.col("m.changed").alias("changed_slots"), "text_key")

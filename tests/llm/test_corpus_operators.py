@@ -400,6 +400,23 @@ def test_decontamination_equals_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()} == want
 
 
+def test_decontamination_finds_changed_tokens(spark):
+    rnd = random.Random(5)
+    word = lambda: "w" + "".join(rnd.choice("abcdefgh") for _ in range(5))
+    items = [[word() for _ in range(rnd.randint(6, 45))] for _ in range(20)]
+    texts, want = [], set()
+    for i in range(150):
+        own = list(items[j := i % 20])
+        for at in rnd.sample(range(len(own)), rnd.randint(0, max(1, len(own) - 11))):
+            own[at] = "x" + word()
+        texts.append([word() for _ in range(rnd.randint(0, 40))] + own + [word() for _ in range(rnd.randint(0, 9))])
+        if sum(a == b for a, b in zip(own, items[j], strict=True)) >= min(13, len(own)):
+            want.add((i, j))
+    bench = spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(items)], "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, [" ".join(t) for t in texts]), bench)
+    assert 30 < len(want) < 150 and {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
 # 7 PII
 
 
