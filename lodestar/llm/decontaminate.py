@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates, in DataFrame functions alone.
 
 Texts become templates: numbers, names (capitalised words within a sentence) and units behind a number turn into typed
-placeholders, the rest is lower-cased and loses its punctuation. Pairs of template tokens up to some places apart are
+placeholders, the rest is lower-cased and loses its punctuation. A capitalised word at the start of a sentence may be a
+name or a word and is compared as both; so is a name with an equal word. Pairs of template tokens up to some places apart are
 hashed, of items and documents alike: RUN agreeing tokens can't all lie farther apart than the longest item leaves room
 for, so that every alignment with enough agreeing tokens shares pairs, wherever tokens were changed, and for each item a
 least number of them is known. Alignments that share so many are laid side by side with the item, token by token, and
@@ -27,15 +28,20 @@ BROADCAST_ROWS = 200_000
 #: Units of measure that turn into a placeholder behind a number.
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "oz", "lb", "lbs", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "mph", "kmh", "w", "kw", "kwh", "v", "a", "hz", "c", "f")
 
-NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
+#: Words that aren't names where they start a sentence.
+NOT_NAMES = ("a", "after", "all", "an", "and", "are", "as", "at", "before", "but", "by", "can", "do", "does", "each", "every", "find", "for", "from", "given", "he", "her", "his", "how", "if", "in", "is", "it", "its", "let", "no", "not", "of", "on", "one", "or", "our", "she", "so", "some", "that", "the", "their", "then", "there", "these", "they", "this", "to", "we", "what", "when", "where", "which", "while", "who", "why", "with", "you", "your")
+
+#: MAYBE: a capitalised word at the start of a sentence.
+NUMBER, NAME, UNIT, MAYBE = "\x01", "\x02", "\x03", "\x04"
 #: What parts tokens: anything but letters, digits, marks, percent and degree signs, and points or commas before a digit.
-APART = r"(?:[\x00\x04-$&-+\-/:-@\[-`{-\x7F\u0080-\u00A9\u00AB-\u00AF\u00B1-\u00B4\u00B6-\u00B9\u00BB-\u00BF\u00D7\u00F7\u2000-\u206F\u20A0-\u20CF\u2190-\u2BFF\u3000-\u303F]|[.,](?![0-9]))+"
+APART = r"(?:[\x00\x05-$&-+\-/:-@\[-`{-\x7F\u0080-\u00A9\u00AB-\u00AF\u00B1-\u00B4\u00B6-\u00B9\u00BB-\u00BF\u00D7\u00F7\u2000-\u206F\u20A0-\u20CF\u2190-\u2BFF\u3000-\u303F]|[.,](?![0-9]))+"
 
 
 def tokens(text: Column) -> Column:
     """A text's tokens; placeholders keep their value behind a mark, so that slots can be compared."""
-    t = F.translate(F.coalesce(text, F.lit("")), "\x01\x02\x03", "   ")
-    t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{L}\p{N},;][ \t]\p{Lu})[\p{L}\p{M}]*(?=\p{Ll})[\p{L}\p{M}]*", NAME + "$0")
+    t = F.translate(F.coalesce(text, F.lit("")), "\x01\x02\x03\x04", "    ")
+    t = F.regexp_replace(t, r"\p{Lu}(?<![\p{L}\p{N}\p{M}]\p{Lu})[\p{L}\p{M}]*(?=\p{Ll})[\p{L}\p{M}]*", MAYBE + "$0")
+    t = F.regexp_replace(t, r"\x04(?<=[\p{L}\p{N},;][ \t]\x04)", NAME)
     t = F.regexp_replace(t, r"[0-9](?<![\p{L}\p{N}.,][0-9])[0-9]*(?:[.,][0-9]+)*(?![\p{L}\p{N}])", " " + NUMBER + "$0 ")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     t = F.regexp_replace(t, rf"(?i)(\x01[0-9.,]+ )[ \t]*({units}|%|°)(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2 ")
@@ -52,16 +58,30 @@ def templates(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
     return df.select(*keep, tokens(text).alias("tok")).withColumn("tem", template(F.col("tok")))
 
 
-def pairs(tem: Column, gap: Column) -> Column:
-    """Hashes of the tokens at each place and gap places on; null where both are placeholders."""
-    size = F.greatest(F.size(tem) - gap, F.lit(0))
-    return F.zip_with(F.slice(tem, F.lit(1), size), F.slice(tem, gap + 1, size), lambda x, y: F.when((x > " ") | (y > " "), F.xxhash64(x, y, gap)))
+def named(w: Column) -> Column:
+    """Whether a token is a name, or may be one."""
+    return w.startswith(NAME) | w.startswith(MAYBE)
+
+
+def value(w: Column) -> Column:
+    """A token without the mark of a name."""
+    return F.when(named(w), F.substring(w, F.lit(2), F.length(w))).otherwise(w)
+
+
+def pairs(left: Column, right: Column, gap: Column) -> Column:
+    """Hashes of the tokens at each place and gap places on; null where both are placeholders or one is null."""
+    size = F.greatest(F.size(left) - gap, F.lit(0))
+    return F.zip_with(F.slice(left, F.lit(1), size), F.slice(right, gap + 1, size), lambda x, y: F.when(x.isNotNull() & y.isNotNull() & ((x > " ") | (y > " ")), F.xxhash64(x, y, gap)))
 
 
 def exploded(df: DataFrame, gaps: int, *keep: str) -> DataFrame:
-    """(keep, at, h): the pairs of `tem` up to `gaps` places apart."""
-    each = df.select(*keep, "tem", F.explode(F.sequence(F.lit(1), F.lit(gaps))).alias("gap"))
-    return each.select(*keep, F.posexplode(pairs(F.col("tem"), F.col("gap"))).alias("at", "h")).filter("h is not null")
+    """(keep, at, h): the pairs of tokens up to `gaps` places apart, names once as placeholders and once as words."""
+    slot = F.transform("tem", lambda w: F.when(w == MAYBE, NAME).otherwise(w))
+    word = F.transform("tok", lambda w: F.when(named(w), value(w)))
+    each = df.select(*keep, slot.alias("slot"), word.alias("word")).select("*", F.explode(F.sequence(F.lit(0), F.lit(4 * gaps - 1))).alias("k"))
+    left = F.when(F.col("k") % 2 == 0, F.col("slot")).otherwise(F.col("word"))
+    right = F.when(F.col("k") % 4 < 2, F.col("slot")).otherwise(F.col("word"))
+    return each.select(*keep, F.posexplode(pairs(left, right, F.floor(F.col("k") / 4).cast("int") + 1)).alias("at", "h")).filter("h is not null")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN) -> DataFrame:
@@ -107,12 +127,20 @@ def contaminated(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", te
     part = lambda c: F.slice(F.col(c), F.col("cut.from") + 1, length)
     item_part = lambda c: F.slice(F.col(c), F.col("cut.from") - F.col("c.start") + 1, length)
     sides = F.arrays_zip(part("tem").alias("d"), item_part("item_tem").alias("i"), part("tok").alias("dv"), item_part("item_tok").alias("iv"))
-    equal = F.filter(sides, lambda s: s["d"] == s["i"])
-    laid = laid.filter(length > 0).select("id", "text_key", "item", F.col("c.start").alias("start"), F.size("item_tok").alias("item_tokens"), equal.alias("same"))
-    slots = F.filter(F.col("same"), lambda s: s["d"] < " ")
-    values = F.transform(slots, lambda s: F.struct(s["iv"], s["dv"]))
-    one = lambda side: F.size(F.array_distinct(F.transform(slots, lambda s: s[side])))
-    consistent = (F.size(F.array_distinct(values)) == one("iv")) & (F.size(F.array_distinct(values)) == one("dv"))
+    sides = F.transform(sides, lambda s: F.struct(s["d"].alias("d"), s["i"].alias("i"), value(s["dv"]).alias("dv"), value(s["iv"]).alias("iv")))
+    agree = lambda s: (s["d"] == s["i"]) & (s["d"] != MAYBE) | (s["dv"] == s["iv"])
+    slot = lambda s: (s["d"] == s["i"]) & (s["d"] < " ") & (s["d"] != MAYBE)
+    may = lambda s: ~agree(s) & s["d"].isin(NAME, MAYBE) & s["i"].isin(NAME, MAYBE) & ~s["dv"].isin(*NOT_NAMES) & ~s["iv"].isin(*NOT_NAMES)
+    laid = laid.filter(length > 0).select("id", "text_key", "item", F.col("c.start").alias("start"), F.size("item_tok").alias("item_tokens"), sides.alias("sides"))
+    laid = laid.select("*", F.filter("sides", agree).alias("same"), F.filter("sides", may).alias("may")).drop("sides")
+    laid = laid.withColumn("slots", F.filter("same", slot))
+    # What may be a name is one if that contradicts no other slot.
+    against = lambda s, o: (s["iv"] == o["iv"]) != (s["dv"] == o["dv"])
+    laid = laid.withColumn("may", F.filter("may", lambda o: ~F.exists(F.concat("slots", "may"), lambda s: against(s, o))))
+    laid = laid.withColumns({"same": F.concat("same", "may"), "slots": F.concat("slots", "may")})
+    slots = F.col("slots")
+    one = lambda *sides: F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(*[s[x] for x in sides]))))
+    consistent = (one("iv", "dv") == one("iv")) & (one("iv", "dv") == one("dv"))
     laid = laid.filter((F.size("same") >= F.least(F.lit(run), F.col("item_tokens"))) & (F.size("same") - F.size(slots) >= LEAST_WORDS) & consistent)
     found = laid.select("id", "text_key", "item", F.struct(F.size("same").alias("matched"), (-F.col("start")).alias("minus"), "item_tokens", F.size(slots).alias("slots"), F.size(F.filter(slots, lambda s: s["iv"] != s["dv"])).alias("changed")).alias("m"))
     best = found.groupBy("id", "text_key", "item").agg(F.max("m").alias("m"))

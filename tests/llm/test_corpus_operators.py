@@ -417,6 +417,14 @@ def test_decontamination_finds_changed_tokens(spark):
     assert 30 < len(want) < 150 and {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
 
 
+def test_decontamination_finds_names_at_sentence_starts(spark):
+    items = ["What is the least number of red balls in the box", "Tom has 5 apples and eats one of them daily", "On some days the old man walks. Anna has 3 dogs that bark"]
+    texts = ["lorem " + items[0] + " ipsum", items[0].lower(), "lorem Ben has 7 apples and eats one of them daily", "Ben has 7 apples and eats one of them daily", items[2].replace("Anna", "Ben"), "The has 7 apples and eats one of them daily", "lorem ipsum. What was the least number of red balls in the box"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, texts), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)}
+
+
 # 7 PII
 
 
