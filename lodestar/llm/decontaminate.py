@@ -19,7 +19,7 @@ from .common import free_name, saved
 
 #: Tokens that must agree along one alignment; all of them for a shorter item.
 RUN = 13
-#: Agreeing tokens that must be words, not placeholders, to say anything.
+#: Agreeing tokens that must be words, not placeholders; with fewer, placeholders agree only where their values are equal.
 LEAST_WORDS = 4
 #: An item of fewer tokens can't be told from chance and is never matched.
 SHORTEST = 5
@@ -68,27 +68,30 @@ def value(w: Column) -> Column:
     return F.when(named(w), F.substring(w, F.lit(2), F.length(w))).otherwise(w)
 
 
-def pairs(left: Column, right: Column, gap: Column) -> Column:
-    """Hashes of the tokens at each place and gap places on; null where both are placeholders or one is null."""
+def pairs(left: Column, right: Column, gap: Column, dense: Column) -> Column:
+    """Hashes of the tokens at each place and gap places on; null where one is null, or both are placeholders and not dense."""
     size = F.greatest(F.size(left) - gap, F.lit(0))
-    return F.zip_with(F.slice(left, F.lit(1), size), F.slice(right, gap + 1, size), lambda x, y: F.when(x.isNotNull() & y.isNotNull() & ((x > " ") | (y > " ")), F.xxhash64(x, y, gap)))
+    return F.zip_with(F.slice(left, F.lit(1), size), F.slice(right, gap + 1, size), lambda x, y: F.when(x.isNotNull() & y.isNotNull() & (dense | (x > " ") | (y > " ")), F.xxhash64(x, y, gap)))
 
 
-def exploded(df: DataFrame, gaps: int, *keep: str) -> DataFrame:
-    """(keep, at, h): the pairs of tokens up to `gaps` places apart, names once as placeholders and once as words."""
+def exploded(df: DataFrame, gaps: int, dense: Column, *keep: str) -> DataFrame:
+    """(keep, at, h): the pairs of tokens up to `gaps` places apart, names once as placeholders and once as words.
+
+    dense: whether pairs of two placeholders count.
+    """
     slot = F.transform("tem", lambda w: F.when(w == MAYBE, NAME).otherwise(w))
     word = F.transform("tok", lambda w: F.when(named(w), value(w)))
-    each = df.select(*keep, slot.alias("slot"), word.alias("word")).select("*", F.explode(F.sequence(F.lit(0), F.lit(4 * gaps - 1))).alias("k"))
+    each = df.select(*keep, dense.alias("dense"), slot.alias("slot"), word.alias("word")).select("*", F.explode(F.sequence(F.lit(0), F.lit(4 * gaps - 1))).alias("k"))
     left = F.when(F.col("k") % 2 == 0, F.col("slot")).otherwise(F.col("word"))
     right = F.when(F.col("k") % 4 < 2, F.col("slot")).otherwise(F.col("word"))
-    return each.select(*keep, F.posexplode(pairs(left, right, F.floor(F.col("k") / 4).cast("int") + 1)).alias("at", "h")).filter("h is not null")
+    return each.select(*keep, F.posexplode(pairs(left, right, F.floor(F.col("k") / 4).cast("int") + 1, F.col("dense"))).alias("at", "h")).filter("h is not null")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN) -> DataFrame:
     """(row_id, item_id, matched, item_tokens, start, slots, changed_slots, text_key), a row for each document and item that it holds.
 
     A document holds an item if along one alignment min(run, tokens of the item) template tokens agree and the slots
-    there are consistent. start: the document's token where the item's first would be. changed_slots: slots with another
+    there are consistent; where fewer than LEAST_WORDS of them are words, only slots of equal values agree. start: the document's token where the item's first would be. changed_slots: slots with another
     value, over 0 for re-parameterised questions. Of several alignments the one with most agreeing tokens counts, the
     first of equals. text_key is a hash of the document's text.
 
@@ -101,17 +104,20 @@ def contaminated(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", te
     n = F.size("tok")
     needed = F.least(F.lit(run), n)
     gaps = items.agg(F.max(F.floor((n - 1) / (needed - 1)))).first()[0] or 1  # beyond it, needed tokens don't fit into the item
-    index = exploded(items, gaps, "item_key").select("item_key", F.col("at").alias("item_at"), "h")
     marks = F.aggregate(F.sequence(F.lit(1), F.lit(gaps)), F.lit(0), lambda c, g: c + F.size(F.filter(F.zip_with(F.slice("tem", F.lit(1), F.greatest(n - g, F.lit(0))), F.slice("tem", g + 1, F.greatest(n - g, F.lit(0))), lambda x, y: (x < " ") & (y < " ")), lambda b: b)))
-    # Of the needed - 1 steps between agreeing tokens, only so many can be longer than gaps.
-    least = items.select("item_key", F.greatest(F.lit(1), needed - 1 - F.floor((n - needed) / gaps) - marks).alias("least"))
-    index = saved(index.join(least, "item_key"), "item-pairs")
+    # Of the needed - 1 steps between agreeing tokens, only so many can be longer than gaps. Pairs of two placeholders are
+    # everywhere in tables of numbers, so that they count only for items that may share no other.
+    least = needed - 1 - F.floor((n - needed) / gaps)
+    counted = items.withColumn("dense", least - marks < 1).withColumn("least", F.when(F.col("dense"), F.greatest(F.lit(1), least)).otherwise(least - marks))
+    index = exploded(counted, gaps, F.col("dense"), "item_key", "least").withColumnRenamed("at", "item_at")
+    index = saved(index, "item-pairs")
+    dense = bool(counted.filter("dense").head(1))
     small = index.count() <= BROADCAST_ROWS
     held = F.broadcast if small else (lambda x: x)
 
     body = F.col(f"`{text}`")
     docs = df.select(F.col(f"`{row_id}`").alias("id"), body.alias("body"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("text_key"))
-    probes = exploded(templates(docs, F.col("body"), F.col("id"), F.col("text_key")), gaps, "id", "text_key")
+    probes = exploded(templates(docs, F.col("body"), F.col("id"), F.col("text_key")), gaps, F.lit(dense), "id", "text_key")
     hits = probes.join(held(index), "h").select("id", "text_key", "item_key", (F.col("at") - F.col("item_at")).alias("start"), "least")
     shared = hits.groupBy("id", "text_key", "item_key", "start").agg(F.count(F.lit(1)).alias("shared"), F.first("least").alias("least"))
     candidates = saved(shared.filter("shared >= least").drop("shared", "least"), "candidates")
@@ -138,10 +144,12 @@ def contaminated(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", te
     against = lambda s, o: (s["iv"] == o["iv"]) != (s["dv"] == o["dv"])
     laid = laid.withColumn("may", F.filter("may", lambda o: ~F.exists(F.concat("slots", "may"), lambda s: against(s, o))))
     laid = laid.withColumns({"same": F.concat("same", "may"), "slots": F.concat("slots", "may")})
+    few = F.size("same") - F.size("slots") < LEAST_WORDS
+    laid = laid.withColumns({c: F.when(few, F.filter(c, lambda s: s["iv"] == s["dv"])).otherwise(F.col(c)) for c in ("same", "slots")})
     slots = F.col("slots")
     one = lambda *sides: F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(*[s[x] for x in sides]))))
     consistent = (one("iv", "dv") == one("iv")) & (one("iv", "dv") == one("dv"))
-    laid = laid.filter((F.size("same") >= F.least(F.lit(run), F.col("item_tokens"))) & (F.size("same") - F.size(slots) >= LEAST_WORDS) & consistent)
+    laid = laid.filter((F.size("same") >= F.least(F.lit(run), F.col("item_tokens"))) & consistent)
     found = laid.select("id", "text_key", "item", F.struct(F.size("same").alias("matched"), (-F.col("start")).alias("minus"), "item_tokens", F.size(slots).alias("slots"), F.size(F.filter(slots, lambda s: s["iv"] != s["dv"])).alias("changed")).alias("m"))
     best = found.groupBy("id", "text_key", "item").agg(F.max("m").alias("m"))
     return best.select(F.col("id").alias(row_id), F.col("item").alias(item_id), F.col("m.matched").alias("matched"), F.col("m.item_tokens").alias("item_tokens"), (-F.col("m.minus")).alias("start"), F.col("m.slots").alias("slots"), F.col("m.changed").alias("changed_slots"), "text_key")

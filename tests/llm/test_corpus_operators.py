@@ -425,6 +425,14 @@ def test_decontamination_finds_names_at_sentence_starts(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)}
 
 
+def test_decontamination_finds_items_of_few_words(spark):
+    items = ["What is 12 + 7 * 3 - 4 + 5 / 8 * 9 + 12", "we met Ann, Bob, Carl, Dora, Emil, Fay, Gus, Hal, Ida, Jan, Kim, Leo, Max", "add 5 and 7 now", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"]
+    texts = [f"lorem ipsum {t} dolor" for t in items] + ["lorem 5 6 7 8 9 10 11 12 13 14 15 16 17", "4 5 6 7 8 9 10 11 12 13 14 15 16", items[0].replace("8", "6"), " ".join(map(str, range(500, 600)))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, texts), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 3)}
+
+
 # 7 PII
 
 
