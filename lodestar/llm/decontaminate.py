@@ -117,7 +117,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", te
 
     body = F.col(f"`{text}`")
     docs = df.select(F.col(f"`{row_id}`").alias("id"), body.alias("body"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("text_key"))
-    probes = exploded(templates(docs, F.col("body"), F.col("id"), F.col("text_key")), gaps, F.lit(dense), "id", "text_key")
+    # All hits of a document come up in one task, so that counting them moves none.
+    probes = exploded(templates(docs.repartition("id", "text_key"), F.col("body"), F.col("id"), F.col("text_key")), gaps, F.lit(dense), "id", "text_key")
     hits = probes.join(held(index), "h").select("id", "text_key", "item_key", (F.col("at") - F.col("item_at")).alias("start"), "least")
     shared = hits.groupBy("id", "text_key", "item_key", "start").agg(F.count(F.lit(1)).alias("shared"), F.first("least").alias("least"))
     candidates = saved(shared.filter("shared >= least").drop("shared", "least"), "candidates")
