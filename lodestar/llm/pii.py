@@ -24,7 +24,9 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])",
 }
-ANY = "|".join(PATTERNS.values())
+OTHERS = "|".join(p for k, p in PATTERNS.items() if k != "card")
+#: Fixed groupings of card numbers; those that pass their check are found beside any other digits.
+GROUPED = (r"[0-9]{13,19}", r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}\2[0-9]{3}", r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}", r"[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
 #: Days are permuted within blocks of 250 * 292, about 200 years, counted from 1900-01-01.
 DAY_HALVES = (250, 292)
 
@@ -181,13 +183,33 @@ KINDS = {"email": email, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "ca
 
 
 def pseudonym(m: Column, key: Column) -> Column:
-    """A struct (kind, to) for one match of ANY; kind null and to the match itself where it fails its checks."""
+    """A struct (kind, to) for one match of a text's pattern; kind null and to the match itself where it fails its checks."""
     out = named(F.lit(None).cast("string"), m, None)
     for kind in reversed(KINDS):
         out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), named(KINDS[kind](m, key), m, kind)).otherwise(out)
     return out
 
 
+def any_pattern(body: Column) -> Column:
+    """A text's pattern: other kinds, the card numbers in it of a fixed grouping, and other digits that may be one.
+
+    The last end where one of these numbers, a date or an address begins.
+    """
+    begin, end = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z-])"
+    free = begin + r"[0-9](?:(?:[ -](?!{}" + PATTERNS["date"] + "|" + PATTERNS["ip"] + "))?[0-9]){12,18}" + end
+    before, after = free.split("{}")
+    found = F.concat(*[F.regexp_extract_all(body, F.lit(f"{begin}(?=({g}){end})"), F.lit(1)) for g in GROUPED])
+    valid = F.array_distinct(F.filter(found, lambda c: luhn_sum(only_digits(c)) % 10 == 0))
+
+    def with_cards(cards: Column) -> Column:
+        own = F.concat(F.lit(f"{begin}(?:"), F.array_join(F.reverse(F.array_sort(cards)), "|"), F.lit(f"){end}"))
+        return F.concat(F.lit(OTHERS + "|"), own, F.lit("|" + before), own, F.lit("|" + after))
+
+    plain = F.lit(OTHERS + "|" + before + after)
+    some = F.when(body.rlike(r"[0-9][0-9 -]{11,}[0-9]"), valid)
+    return F.transform(F.array(some), lambda c: F.when(F.size(c) > 0, with_cards(c)).otherwise(plain))[0]
+
+
 def named(to: Column, m: Column, kind: str | None) -> Column:
     return F.transform(F.array(to), lambda t: F.struct(F.when(t.isNotNull(), F.lit(kind)).cast("string").alias("kind"), F.coalesce(t, m).alias("to")))[0]
 
@@ -198,14 +220,15 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", counts: str = "pii
     Clean texts stay the same to the byte. A null text stays null with an empty map. Texts are handled whole. Where df
     has a column `counts`, the new one gets an underscore in front; other columns pass unchanged. Equal rows stay equal.
     """
-    name, hidden = free_name(df, counts), free_name(df, "pii_matches")
+    name, hidden, pattern = free_name(df, counts), free_name(df, "pii_matches"), free_name(df, "pii_pattern")
+    any_ = F.col(f"`{pattern}`")
     secret = F.lit(key)
     body = F.col(f"`{text}`")
     none = F.array().cast("array<struct<kind:string,to:string>>")
     some = body.rlike("[0-9@]")
-    found = df.withColumn(hidden, F.when(some, F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, secret))).otherwise(none))
+    found = df.withColumn(pattern, any_pattern(body)).withColumn(hidden, F.when(some, F.transform(F.regexp_extract_all(body, any_, F.lit(0)), lambda m: pseudonym(m, secret))).otherwise(none))
     kinds = F.filter(F.col(f"`{hidden}`.kind"), lambda k: k.isNotNull())
     tally = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
-    parts = F.zip_with(F.split(body, ANY, -1), F.concat(F.array(F.lit("")), F.col(f"`{hidden}`.to")), lambda s, r: F.concat(r, s))
+    parts = F.zip_with(F.split(body, any_, -1), F.concat(F.array(F.lit("")), F.col(f"`{hidden}`.to")), lambda s, r: F.concat(r, s))
     rewritten = F.when(F.exists(F.col(f"`{hidden}`.kind"), lambda k: k.isNotNull()), F.array_join(parts, "")).otherwise(body)
-    return found.withColumns({text: rewritten, name: tally}).drop(hidden)
+    return found.withColumns({text: rewritten, name: tally}).drop(hidden, pattern)

@@ -473,6 +473,16 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert pii.pseudonymise(docs(spark, []).limit(0), "k").count() == 0
 
 
+def test_card_numbers_beside_other_digits(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    texts = [f"{card} 123 now", f"{spaced} 12/27", f"{card} 4.0.", f"exp 2027 {spaced}", f"12345 {spaced} 99 {card}", f"{card} 10.0.0.255", f"{card}1 {spaced}"]
+    got = collected(pii.pseudonymise(docs(spark, texts), "k1"), "doc_id")
+    alone = {c: pii.pseudonymise(docs(spark, [c]), "k1").first()["text"] for c in (card, spaced)}
+    for i, t in enumerate(texts[:5]):
+        assert got[i]["text"] == t.replace(card, alone[card]).replace(spaced, alone[spaced]) and set(got[i]["pii"]) == {"card"}
+    assert got[5]["pii"] == {"card": 1, "ip": 1} and got[6]["text"] == f"{card}1 {alone[spaced]}"
+
+
 def test_feistel_is_a_permutation(spark):
     rows = spark.range(1000).select(pii.permuted_digits(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("k"), "t").alias("p")).collect()
     assert sorted(r["p"] for r in rows) == [f"{i:03d}" for i in range(1000)]
