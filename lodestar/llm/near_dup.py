@@ -5,7 +5,8 @@
 2. Inverted lists of retained values, keyed by runs of values that are neighbours in a sketch, generate overlaps. Two sets
    with similarity 0.8 keep each smallest value of their union with chance 0.8, so that none of INDEXED values has a
    neighbour in common with chance 0.512 ** INDEXED or less (1e-7); where the union fits into INDEXED values it can't happen.
-   Lists of one key are linked as stars to their smallest member, never as all pairs.
+   Lists of one key are linked as stars to their smallest member, never as all pairs. Sets of five values are linked with
+   those of four of them by keys of their own.
 3. The union's sketch, from the two sketches, estimates the similarity; pairs far under the threshold go.
 4. The rest is confirmed on the full sets, made again from the texts.
 5. Lists that then hold more than one component are gone through again: short ones pair by pair across components, long
@@ -90,6 +91,23 @@ def postings(reps: DataFrame, values: int, length: int) -> DataFrame:
     return reps.select("rep", "n", "sketch").mapInArrow(run, f"key long, rep {kind}, n long").distinct()
 
 
+def nested(reps: DataFrame) -> DataFrame:
+    """(a, b) with a < b: sets of five values and sets of four of these, the only pairs of 0.8 or more that may share no run of three."""
+    kind = reps.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(b, np.uint64) for b in batch["sketch"].to_pylist()]
+            found = [[v] if len(v) == 4 else [np.delete(v, i) for i in range(5)] for v in own]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            key = np.array([rolling(v, 4)[0] for f in found for v in f], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch["rep"].take(pa.array(at)), batch["n"].take(pa.array(at))], names=["key", "rep", "n"])
+
+    rows = reps.filter("n between 4 and 5").select("rep", "n", "sketch").mapInArrow(run, f"key long, rep {kind}, n long")
+    pairs = rows.filter("n = 4").select("key", F.col("rep").alias("x")).join(rows.filter("n = 5").select("key", F.col("rep").alias("y")), "key").filter("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_enough(a: Column, b: Column, percent: int) -> Column:
     """Set sizes that leave room for the similarity."""
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
@@ -238,7 +256,8 @@ def linked(df: DataFrame, row_id: str, text: str, shingle: int, percent: int) ->
     stars = saved(stars.coalesce(files), "stars")  # a table, so that adaptive execution may split the join's hot keys
     lists = saved(lists.join(stars, "key").coalesce(files), "lists")
     forget(stars)
-    pairs = lists.filter((F.col("first.rep") < F.col("rep")) & near_enough(F.col("n"), F.col("first.n"), percent)).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = lists.filter((F.col("first.rep") < F.col("rep")) & near_enough(F.col("n"), F.col("first.n"), percent)).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))
+    pairs = (pairs.unionByName(nested(reps)) if percent <= 80 else pairs).distinct()
     pairs = saved(estimated(pairs, reps, percent).coalesce(files), "pairs")
     edges = saved(confirmed(pair_tasks(pairs), texts, shingle, percent).coalesce(files), "links")
     forget(pairs)

@@ -295,6 +295,13 @@ def test_near_duplicates_with_long_lists(spark, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(texts, list(range(len(texts))), 2)
 
 
+def test_near_duplicates_of_hot_small_sets(spark):
+    texts = ["aa bb cc dd ee"] + [f"aa bb cc dd ee x{i}" for i in range(120)]
+    ids = [1000, *range(120)]
+    got = collected(near_dup.near_duplicates(docs(spark, texts, ids), shingle=2), "doc_id")
+    assert {r["component_id"] for r in got.values()} == {0}
+
+
 def test_near_duplicate_edges(spark):
     long = " ".join(HUGE)
     got = near_dup.near_duplicates(docs(spark, [long, long, "a b", "A  B", None, "", "x y", "p q r"], [5, None, 4, 4, 3, 2, 9, 9]), shingle=2).collect()
