@@ -7,6 +7,9 @@ over all executors by their next SUFFIX words, then by the words in front read b
 neighbour in this order. A match is extended right by the common prefix and left by the common words in front; matches
 of MIN_WORDS words or more are repeats. Longer repeats are the union of the matches at their minimisers.
 
+Neighbours can miss a match in a large group with a common prefix, so that the windows of MIN_WORDS words around retained
+minimisers are joined by their hashes as well: each repeated passage is a union of windows that occur twice or more.
+
 Words are 4-byte hashes in the sort key, so that a match may come out one word too long once in 4 billion comparisons.
 """
 
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, rolling, saved
-from .repeats import WIDE, Plan, among, chunked, keys, packed, per_chunk, repeated, sent, with_hits, words_of, known
+from .repeats import WIDE, Plan, among, chunked, keys, packed, per_chunk, repeated, sent, spread, with_hits, words_of, known
 
 MIN_WORDS = 50
 K = 20
@@ -100,6 +103,32 @@ def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     hits = repeated(per_chunk(docs, anchors, "bucket int, chunk int, values binary"), WIDE, marked=False)
     kind = df.schema[row_id].dataType.simpleString()
 
+    def windows(table: pa.Table, found: pa.Table) -> pa.Table:
+        if not table.num_rows or not found.num_rows:
+            return sent(0, [])
+        w = words_of(table)
+        at, h = minimisers(w, k, span)
+        whole = rolling(w.hashes, min_words)
+        near = spread(at[among(keys(h, buckets, WIDE), known(found, WIDE))], back, 1, len(whole))
+        return sent(table["chunk"][0].as_py(), packed(whole[near & (w.left[: len(whole)] >= min_words)], None, buckets, WIDE))
+
+    again = repeated(with_hits(docs, hits, windows, "bucket int, chunk int, values binary"), WIDE, marked=False)
+
+    def covered_words(table: pa.Table, found: pa.Table) -> pa.Table:
+        starts = ends = doc = np.zeros(0, np.int64)
+        if table.num_rows and found.num_rows:
+            w = words_of(table)
+            whole = rolling(w.hashes, min_words)
+            at = np.flatnonzero(among(keys(whole, buckets, WIDE), known(found, WIDE)) & (w.left[: len(whole)] >= min_words))
+            if len(at):  # windows of one text that touch are one span
+                apart = (np.diff(at) > min_words) | (np.diff(w.doc[at]) != 0)
+                first, last = at[np.concatenate(([True], apart))], at[np.concatenate((apart, [True]))]
+                doc = w.doc[first]
+                starts, ends = first - w.starts[doc], last + min_words - w.starts[doc]
+        return pa.table({n: table[n].take(pa.array(doc)) for n in ("id", "key")} | {"start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32())})
+
+    exact = with_hits(docs, again, covered_words, f"id {kind}, key long, start int, end int")
+
     shape = f"suffix binary, front binary, id {kind}, key long, at int"
 
     def suffixes(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -156,6 +185,7 @@ def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     if more:
         matches = matches.unionByName(spark.createDataFrame(more, matches.schema))
     spans = matches.select("id", "key", F.struct((F.col("at") - F.col("front_words")).alias("start"), (F.col("at") + F.col("next_words")).alias("end")).alias("s"))
+    spans = spans.unionByName(exact.select("id", "key", F.struct("start", "end").alias("s")))
     merged = spans.groupBy("id", "key").agg(F.array_sort(F.collect_set("s")).alias("s"))
     merged = merged.select("id", "key", merge(F.col("s")).alias("spans"))
     covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")

@@ -356,6 +356,16 @@ def test_suffix_array_equals_brute_force(spark, min_words):
         assert all(b - a >= min_words for a, b in spans) and (i in got) == (removed > 0)
 
 
+def test_suffix_array_finds_pairs_in_large_groups(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    prose = lambda n: [word() for _ in range(n)]
+    footer, own = prose(35), [prose(15) for _ in range(12)]
+    texts = [prose(5) + p + footer + prose(20) for p in own for _ in range(2)] + [prose(20) + footer + prose(20) for _ in range(300)]
+    got = collected(suffix_dedup.repeated_passages(docs(spark, [" ".join(t) for t in texts])), "doc_id")
+    assert {i: [tuple(s) for s in r["spans"]] for i, r in got.items()} == {i: [(5, 55)] for i in range(24)}
+
+
 def test_minimisers_are_shared(spark):
     rnd = random.Random(1)
     shared = [str(rnd.randint(0, 500)) for _ in range(50)]
