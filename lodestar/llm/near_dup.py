@@ -33,7 +33,7 @@ BLOCK = 256
 #: Rows in one file of a table behind a shuffle, about, and the least number of files.
 FILE_ROWS, LEAST_FILES = 1 << 20, 8
 #: Standard deviations of the estimate that a pair may lie under the threshold and still be confirmed.
-SLACK = 4.0
+SLACK = 6.0
 PAD = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 

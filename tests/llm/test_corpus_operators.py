@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version, on ordinary texts and on the edge cases of its docstring."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -302,6 +303,11 @@ def test_near_duplicates_of_hot_small_sets(spark):
     assert {r["component_id"] for r in got.values()} == {0}
 
 
+def test_estimate_keeps_pairs_at_the_threshold():
+    least = near_dup.K * 0.8 - near_dup.SLACK * math.sqrt(near_dup.K * 0.16)
+    assert sum(math.comb(near_dup.K, i) * 0.8**i * 0.2 ** (near_dup.K - i) for i in range(math.ceil(least))) < 1e-7
+
+
 def test_near_duplicate_edges(spark):
     long = " ".join(HUGE)
     got = near_dup.near_duplicates(docs(spark, [long, long, "a b", "A  B", None, "", "x y", "p q r"], [5, None, 4, 4, 3, 2, 9, 9]), shingle=2).collect()
