@@ -3,12 +3,14 @@
 Suffixes are retained at minimiser positions: the places of the smallest hash of K words among every SPAN consecutive
 places. Two places with MIN_WORDS = K + SPAN - 1 equal words have a minimiser in common, so nothing that long is
 missed. Suffixes whose first K words occur once in the corpus have no neighbour and are left out; the others are sorted
-over all executors by their next SUFFIX words, then by the words in front read backwards, and each is compared with its
-neighbour in this order. A match is extended right by the common prefix and left by the common words in front; matches
-of MIN_WORDS words or more are repeats. Longer repeats are the union of the matches at their minimisers.
+over all executors, by a hash of their first K words, then by their next MIN_WORDS words and the words in front read
+backwards, and compared with their neighbours. A match is extended right by the common prefix and left by the common
+words in front; matches of MIN_WORDS words or more are repeats. Longer repeats are the union of those at their minimisers.
 
-Neighbours can miss a match in a large group with a common prefix, so that the windows of MIN_WORDS words around retained
-minimisers are joined by their hashes as well: each repeated passage is a union of windows that occur twice or more.
+The NEIGHBOURS rows on either side are all that a group of so many equal prefixes has. In a larger group, or one that a
+task's border cuts, the suffix that shares most words in front may stand farther off. So each row there that isn't like
+its predecessor also sends the hashes of all windows of MIN_WORDS words around its minimiser (every split into words in
+front and words behind); those that another row sends too are repeats. Together both find exactly the repeats.
 
 Words are 4-byte hashes in the sort key, so that a match may come out one word too long once in 4 billion comparisons.
 """
@@ -19,17 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, rolling, saved
-from .repeats import WIDE, Plan, among, chunked, keys, packed, per_chunk, repeated, sent, spread, with_hits, words_of, known
+from .repeats import WIDE, Plan, among, chunked, keys, known, packed, per_chunk, repeated, sent, with_hits, words_of
 
 MIN_WORDS = 50
 K = 20
 BYTES = 4
-#: How many suffixes on either side in the order each one is compared with. The nearest has the longest common prefix;
-#: a farther one may match less to the right and more to the left.
+#: How many suffixes on either side in the order each one is compared with.
 NEIGHBOURS = 8
 
 
@@ -42,21 +45,29 @@ def sliding(values: np.ndarray, span: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[:size], out[span - width : span - width + size])
 
 
-def minimisers(w, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose k-word hash is the smallest of some span consecutive places of a text, and these hashes.
+def minimisers(w, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose k-word hash is the smallest of some span consecutive places of a text; these hashes; and its own windows.
 
-    Equal smallest hashes all count, so that the choice hangs on the words alone.
+    Equal smallest hashes all count, so that the choice hangs on the words alone. A window of k + span - 1 words is owned
+    by the first of its smallest hashes: those that a place owns begin at `first` and at the `owned` - 1 places behind it.
     """
     h = rolling(w.hashes, k)
     size = len(h) - span + 1
     if size < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none
     order = mix(h ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
     least = sliding(order, span, np.minimum)
     least[w.left[:size] < k + span - 1] = 0  # these would reach into the next text
     none = np.zeros(span - 1, np.uint64)
     at = np.flatnonzero(sliding(np.concatenate((none, least, none)), span, np.maximum) == order)
-    return at, h[at]
+    starts = np.flatnonzero(least)
+    owner = np.searchsorted(at, starts)
+    while len(wrong := np.flatnonzero(order[at[owner]] != least[starts])):
+        owner[wrong] += 1
+    first, last = np.searchsorted(owner, np.arange(len(at))), np.searchsorted(owner, np.arange(len(at)), side="right")
+    begin = np.where(first < last, starts[np.minimum(first, max(len(starts) - 1, 0))] if len(starts) else at, at)
+    return at, h[at], begin, last - first
 
 
 def around(w, at: np.ndarray, size: int, forward: bool) -> pa.Array:
@@ -102,88 +113,72 @@ def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text",
 
     hits = repeated(per_chunk(docs, anchors, "bucket int, chunk int, values binary"), WIDE, marked=False)
     kind = df.schema[row_id].dataType.simpleString()
-
-    def windows(table: pa.Table, found: pa.Table) -> pa.Table:
-        if not table.num_rows or not found.num_rows:
-            return sent(0, [])
-        w = words_of(table)
-        at, h = minimisers(w, k, span)
-        whole = rolling(w.hashes, min_words)
-        near = spread(at[among(keys(h, buckets, WIDE), known(found, WIDE))], back, 1, len(whole))
-        return sent(table["chunk"][0].as_py(), packed(whole[near & (w.left[: len(whole)] >= min_words)], None, buckets, WIDE))
-
-    again = repeated(with_hits(docs, hits, windows, "bucket int, chunk int, values binary"), WIDE, marked=False)
-
-    def covered_words(table: pa.Table, found: pa.Table) -> pa.Table:
-        starts = ends = doc = np.zeros(0, np.int64)
-        if table.num_rows and found.num_rows:
-            w = words_of(table)
-            whole = rolling(w.hashes, min_words)
-            at = np.flatnonzero(among(keys(whole, buckets, WIDE), known(found, WIDE)) & (w.left[: len(whole)] >= min_words))
-            if len(at):  # windows of one text that touch are one span
-                apart = (np.diff(at) > min_words) | (np.diff(w.doc[at]) != 0)
-                first, last = at[np.concatenate(([True], apart))], at[np.concatenate((apart, [True]))]
-                doc = w.doc[first]
-                starts, ends = first - w.starts[doc], last + min_words - w.starts[doc]
-        return pa.table({n: table[n].take(pa.array(doc)) for n in ("id", "key")} | {"start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32())})
-
-    exact = with_hits(docs, again, covered_words, f"id {kind}, key long, start int, end int")
-
-    shape = f"suffix binary, front binary, id {kind}, key long, at int"
+    shape = f"prefix long, context long, suffix binary, front binary, id {kind}, key long, at int, own_first int, own int"
 
     def suffixes(table: pa.Table, found: pa.Table) -> pa.Table:
-        at = np.zeros(0, np.int64)
+        at = first = own = np.zeros(0, np.int64)
+        h = np.zeros(0, np.uint64)
         if table.num_rows and found.num_rows:
             w = words_of(table)
-            at, h = minimisers(w, k, span)
-            at = at[among(keys(h, buckets, WIDE), known(found, WIDE))]
+            at, h, first, own = minimisers(w, k, span)
+            held = among(keys(h, buckets, WIDE), known(found, WIDE))
+            at, h, first, own = at[held], h[held], first[held], own[held]
         doc = w.doc[at] if len(at) else at
         none = pa.array([], pa.binary())
         out = {"suffix": around(w, at, ahead, True) if len(at) else none, "front": around(w, at, back, False) if len(at) else none}
+        # The first K words' hash, and one of all: short keys, by which equal rows meet and few bytes are sampled.
+        context = [xxhash.xxh3_64_intdigest(x + y) for x, y in zip(out["suffix"].to_pylist(), out["front"].to_pylist(), strict=True)]
+        out = {"prefix": pa.array(h.astype(np.int64), pa.int64()), "context": pa.array(np.array(context, np.uint64).astype(np.int64), pa.int64())} | out
         out |= {n: table[n].take(pa.array(doc)) for n in ("id", "key")}
-        return pa.table(out | {"at": pa.array(at - w.starts[doc] if len(at) else at, pa.int32())})
+        return pa.table(out | {"at": pa.array(at - w.starts[doc] if len(at) else at, pa.int32()), "own_first": pa.array(back - (at - first), pa.int32()), "own": pa.array(own, pa.int32())})
 
     retained = with_hits(docs, hits, suffixes, shape)
-    order = ["suffix", "front", "id", "key", "at"]
-    ordered = retained.repartitionByRange(*order).sortWithinPartitions(*order)
-    found_schema = f"part int, edge int, id {kind}, key long, at int, front_words int, next_words int, suffix binary, front binary"
+    ordered = retained.repartitionByRange("prefix", "context", "id").sortWithinPartitions("prefix", "suffix", "front")
+    found_schema = f"part int, id {kind}, key long, at int, front_words int, next_words int, own_first int, own int, suffix binary, front binary"
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Compare each row with the next; a row waits for its next one. The first and last rows of a task are sent on."""
+        """Compare each row with the next ones; a row waits for them."""
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        waiting = None  # the last rows so far, and their left and right match
-        first = True
+        held = None  # the last rows so far: a table, their left and right match, and how many have their next ones known
+        opening = None  # the prefix that the task begins with
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            left, right = np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows, np.int64)
-            if waiting is not None:
-                t = pa.concat_tables([waiting[0], t])
-                left, right = np.concatenate((waiting[1], left)), np.concatenate((waiting[2], right))
-            extend(t, left, right, min_words)
-            done = max(0, t.num_rows - NEIGHBOURS)
-            yield from shown(t.slice(0, done), part, left[:done], right[:done], first, False)
-            first = first and not done
-            waiting = (t.slice(done), left[done:], right[done:])
-        if waiting is not None:
-            yield from shown(waiting[0], part, waiting[1], waiting[2], first, True)
+            if opening is None:
+                opening = t["prefix"][0].as_py()
+            held = Held(t, held, opening, min_words)
+            yield from held.done(part, last=False)
+        if held is not None:
+            yield from held.done(part, last=True)
 
     kept = saved(ordered.mapInArrow(neighbours, found_schema), "matches")
-    spark = df.sparkSession
-    edges = kept.filter("edge > 0").orderBy("part", "edge").collect()  # two rows a task: the first and the last
-    more = []
-    for a, b in zip(edges, edges[1:], strict=False):
-        if a["part"] != b["part"]:
-            t = pa.table({"suffix": pa.array([a["suffix"], b["suffix"]], pa.binary()), "front": pa.array([a["front"], b["front"]], pa.binary())})
-            left, right = np.zeros(2, np.int64), np.zeros(2, np.int64)
-            extend(t, left, right, min_words)
-            more += [(r["id"], r["key"], r["at"], int(left[i]), int(right[i])) for i, r in enumerate((a, b)) if right[i]]
-    matches = kept.select("id", "key", "at", "front_words", "next_words").filter("next_words > 0")
-    if more:
-        matches = matches.unionByName(spark.createDataFrame(more, matches.schema))
+    far = kept.filter("suffix is not null and own > 0").select("part", "id", "key", "at", "own_first", "own", "suffix", "front")
+
+    def splits(table: pa.Table) -> pa.Table:
+        h, good = own_windows(table, min_words)
+        return sent(table["part"][0].as_py(), packed(h[good], None, buckets, WIDE))
+
+    again = repeated(far.groupBy("part").applyInArrow(splits, "bucket int, chunk int, values binary"), WIDE, marked=False)
+
+    def met(table: pa.Table, found: pa.Table) -> pa.Table:
+        at, start = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if table.num_rows and found.num_rows:
+            h, good = own_windows(table, min_words)
+            hit = good & among(keys(h.ravel(), buckets, WIDE), known(found, WIDE)).reshape(h.shape)
+            at, start = np.nonzero(hit)
+            if len(at):  # a row's windows that touch are one span
+                new = np.concatenate(([True], (np.diff(at) != 0) | (np.diff(start) != 1)))
+                last = np.concatenate((new[1:], [True]))
+                at, start, end = at[new], start[new], start[last] + min_words
+                base = table["at"].to_numpy()[at] - back
+                return pa.table({n: table[n].take(pa.array(at)) for n in ("id", "key")} | {"start": pa.array(base + start, pa.int32()), "end": pa.array(base + end, pa.int32())})
+        return pa.table({n: table[n].take(pa.array(at)) for n in ("id", "key")} | {"start": pa.array(start, pa.int32()), "end": pa.array(start, pa.int32())})
+
+    exact = far.groupBy("part").cogroup(again.groupBy("chunk")).applyInArrow(met, f"id {kind}, key long, start int, end int")
+    matches = kept.filter("next_words > 0")
     spans = matches.select("id", "key", F.struct((F.col("at") - F.col("front_words")).alias("start"), (F.col("at") + F.col("next_words")).alias("end")).alias("s"))
     spans = spans.unionByName(exact.select("id", "key", F.struct("start", "end").alias("s")))
     merged = spans.groupBy("id", "key").agg(F.array_sort(F.collect_set("s")).alias("s"))
@@ -192,34 +187,65 @@ def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     return merged.select(F.col("id").alias(row_id), F.col("key").alias("text_key"), covered.alias("n_repeated"), "spans")
 
 
-def extend(t: pa.Table, left: np.ndarray, right: np.ndarray, min_words: int) -> None:
-    """Raise left and right of each two rows, up to NEIGHBOURS apart, that match in min_words words or more."""
-    if t.num_rows < 2:
-        return
-    s, f = matrix(t["suffix"]), matrix(t["front"])
-    for step in range(1, min(NEIGHBOURS, t.num_rows - 1) + 1):
-        at = np.flatnonzero(s[:-step, 0] == s[step:, 0])
-        r, b = common(s[at], s[at + step]), common(f[at], f[at + step])
-        good = r + b >= min_words
-        at = at[good]
-        for side, value in ((left, b[good]), (right, r[good])):
-            side[at] = np.maximum(side[at], value)
-            side[at + step] = np.maximum(side[at + step], value)
-
-
-def shown(t: pa.Table, part: int, left: np.ndarray, right: np.ndarray, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of neighbours(): matches, and the edges of the task (1: its first row, 2: its last, 3: both)."""
-    if not t.num_rows:
-        return
-    edges = np.zeros(t.num_rows, np.int32)
-    edges[0] += first
-    edges[-1] += 2 * last
-    rows = np.flatnonzero((right > 0) | (edges > 0))
-    own = t.take(pa.array(rows))
-    at_edge = edges[rows] > 0
-    only = lambda c: pa.array([v if e else None for v, e in zip(own[c].to_pylist(), at_edge, strict=True)], pa.binary())
-    out = pa.table({"part": pa.array(np.full(len(rows), part), pa.int32()), "edge": pa.array(edges[rows], pa.int32()), "id": own["id"], "key": own["key"], "at": own["at"], "front_words": pa.array(left[rows], pa.int32()), "next_words": pa.array(right[rows], pa.int32()), "suffix": only("suffix"), "front": only("front")})
-    yield from out.combine_chunks().to_batches()
+def own_windows(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, the hashes of the windows of size words in front and suffix, in text order, and which of them it owns."""
+    words = np.concatenate((matrix(table["front"])[:, ::-1], matrix(table["suffix"])), axis=1)
+    values = mix(words.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    base = np.uint64(0xD6E8FEB86659FD93)
+    sums = np.zeros((len(words), words.shape[1] + 1), np.uint64)
+    for i in range(words.shape[1]):
+        sums[:, i + 1] = sums[:, i] * base + values[:, i]
+    power = np.uint64(pow(int(base), size, 1 << 64))
+    h = mix(sums[:, size:] - sums[:, :-size] * power)
+    place = np.arange(h.shape[1]) - table["own_first"].to_numpy()[:, None]
+    return h, (place >= 0) & (place < table["own"].to_numpy()[:, None])
+
+
+class Held:
+    """Rows of a task in order, each with the words it has in common to the left and right with its neighbours so far."""
+
+    def __init__(self, t: pa.Table, before: Held | None, opening: int, min_words: int):
+        n = 0
+        if before:
+            n = before.t.num_rows
+            t = pa.concat_tables([before.t, t])
+        zeros = np.zeros(t.num_rows - n, np.int64)
+        self.left, self.right = (np.concatenate((x, zeros)) for x in ((before.left, before.right) if before else (zeros[:0], zeros[:0])))
+        self.t, self.opening = t.combine_chunks(), opening
+        self.seen = before.seen if before else 0  # rows at the start that are here for comparison only
+        prefix, suffix, front = self.t["prefix"].to_numpy(), matrix(self.t["suffix"]), matrix(self.t["front"])
+        for step in range(1, min(NEIGHBOURS, t.num_rows - 1) + 1):
+            at = np.flatnonzero((prefix[:-step] == prefix[step:]) & (np.arange(step, t.num_rows) >= n))
+            r, b = common(suffix[at], suffix[at + step]), common(front[at], front[at + step])
+            good = r + b >= min_words
+            at = at[good]
+            for side, value in ((self.left, b[good]), (self.right, r[good])):
+                side[at] = np.maximum(side[at], value)
+                side[at + step] = np.maximum(side[at + step], value)
+        self.prefix, self.suffix, self.front = prefix, suffix, front
+
+    def done(self, part: int, last: bool) -> Iterator[pa.RecordBatch]:
+        """The rows that have met all their neighbours (or the task's last); NEIGHBOURS + 1 rows on either side stay held."""
+        size, far = self.t.num_rows, NEIGHBOURS + 1
+        end = size if last else max(self.seen, size - far)
+        rows = np.arange(self.seen, end)
+        same = lambda other: self.prefix[np.clip(other, 0, size - 1)] == self.prefix[rows]
+        open_ = (same(rows - far) & (rows >= far)) | (same(rows + far) & (rows + far < size)) | (self.prefix[rows] == self.opening)
+        if last:
+            open_ |= self.prefix[rows] == self.prefix[-1]
+        like = np.zeros(len(rows), bool)
+        at = np.flatnonzero(rows > 0)
+        like[at] = (self.suffix[rows[at]] == self.suffix[rows[at] - 1]).all(axis=1) & (self.front[rows[at]] == self.front[rows[at] - 1]).all(axis=1)
+        open_ &= ~like
+        wanted = np.flatnonzero((self.right[rows] > 0) | open_)
+        own, sends = self.t.take(pa.array(rows[wanted])), pa.array(open_[wanted])
+        null = pa.scalar(None, pa.binary())
+        out = {"part": pa.array(np.full(len(wanted), part), pa.int32()), "id": own["id"], "key": own["key"], "at": own["at"], "front_words": pa.array(self.left[rows[wanted]], pa.int32()), "next_words": pa.array(self.right[rows[wanted]], pa.int32()), "own_first": own["own_first"], "own": own["own"]}
+        out |= {c: pc.if_else(sends, own[c].combine_chunks(), null) for c in ("suffix", "front")}
+        yield from pa.table(out).combine_chunks().to_batches()
+        keep = max(0, end - far)
+        self.t, self.seen = self.t.slice(keep), end - keep
+        self.left, self.right, self.prefix, self.suffix, self.front = (x[keep:] for x in (self.left, self.right, self.prefix, self.suffix, self.front))
 
 
 def merge(spans: Column) -> Column:

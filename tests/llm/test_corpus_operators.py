@@ -372,6 +372,26 @@ def test_suffix_array_finds_pairs_in_large_groups(spark):
     assert {i: [tuple(s) for s in r["spans"]] for i, r in got.items()} == {i: [(5, 55)] for i in range(24)}
 
 
+@pytest.mark.parametrize("parts", [4, 16])
+def test_suffix_array_by_partition_count(spark, parts):
+    """Pairs that share words in front of a phrase that hundreds of other documents hold, wherever tasks part them."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    prose = lambda n: [word() for _ in range(n)]
+    hot = prose(26)
+    texts = [own + hot + prose(30) for own in [prose(29) for _ in range(60)] for _ in range(2)] + [prose(30) + hot + prose(30) for _ in range(400)]
+    texts += [prose(3) + hot + hot + prose(3) for _ in range(3)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = collected(suffix_dedup.repeated_passages(docs(spark, [" ".join(t) for t in texts])), "doc_id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {i: [tuple(s) for s in r["spans"]] for i, r in got.items()} == {i: [(0, 55)] for i in range(120)} | {i: [(3, 55)] for i in range(520, 523)}
+
+
 def test_minimisers_are_shared(spark):
     rnd = random.Random(1)
     shared = [str(rnd.randint(0, 500)) for _ in range(50)]
