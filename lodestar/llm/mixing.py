@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import saved, word_count
 
 WEIGHTS = (5, 2, 1)
-#: The slope of each weight's schedule 1 + a (2 t - 1), whose integral over training is 1: steady, rising, falling.
-SLOPES = (0.0, 0.5, -0.5)
+#: Each weight's schedule: rates at evenly spaced times from 0 to 1, linear in between, of any scale: steady, rising, falling.
+SCHEDULES = ((1.0, 1.0), (0.5, 1.5), (1.5, 0.5))
 SHARE = 1.5
 MOST_EPOCHS = 2
 #: Rows a hash range aims at, and the most ranges.
@@ -31,15 +31,15 @@ def source_key(c: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
-    """(key, source_size) -> also weight, slope and target, for one row a source.
+    """(key, source_size) -> also weight, place (of its weight) and target, for one row a source.
 
     The sources share `share` of all words by weight; none gets over `most` times its own, the excess going to the rest
     by weight until none is above. That is a level: target = least(most * size, weight * level). In the order of
     size / weight, the level is what is left over the weights that are left at the first source under its limit.
     """
-    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(F.row_number().over(Window.orderBy("key")) - 1, F.lit(len(weights))) + 1).cast("int"))
-    slope = F.element_at(F.array(*map(F.lit, SLOPES)), (F.pmod(F.row_number().over(Window.orderBy("key")) - 1, F.lit(len(SLOPES))) + 1).cast("int"))
-    rows = sizes.select("key", "source_size", weight.alias("weight"), slope.alias("slope"), (F.col("source_size") * float(most)).alias("most"))
+    place = F.pmod(F.row_number().over(Window.orderBy("key")) - 1, F.lit(len(weights))).cast("int")
+    rows = sizes.select("key", "source_size", place.alias("schedule"), (F.col("source_size") * float(most)).alias("most"))
+    rows = rows.withColumn("weight", F.get(F.array(*map(F.lit, map(float, weights))), F.col("schedule")))
     order = Window.orderBy(F.col("most") / F.col("weight"), "key")
     before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     after = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
@@ -47,12 +47,23 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     rows = rows.withColumn("level", (whole - before) / after).withColumn("place", F.row_number().over(order))
     under = F.min(F.when(F.col("most") > F.col("weight") * F.col("level"), F.struct("place", "level"))).over(Window.partitionBy())
     rows = rows.withColumn("at", under["level"])
-    return rows.select("key", "source_size", "weight", "slope", F.round(F.coalesce(F.least("most", F.col("weight") * F.col("at")), F.col("most")), 6).alias("target"))
+    return rows.select("key", "source_size", "weight", "schedule", F.round(F.coalesce(F.least("most", F.col("weight") * F.col("at")), F.col("most")), 6).alias("target"))
 
 
-def time_of(part: Column, slope: Column) -> Column:
-    """When a schedule 1 + a (2 t - 1) has asked for this part of its target: the inverse of t + a (t^2 - t)."""
-    return F.when(slope == 0, part).otherwise((F.sqrt((1 - slope) * (1 - slope) + 4 * slope * part) - (1 - slope)) / (2 * slope))
+def time_of(part: Column, rates: tuple[float, ...]) -> Column:
+    """When a schedule has asked for this part of its target: the inverse of its integral, a root in each linear piece."""
+    pieces = len(rates) - 1
+    width = 1.0 / pieces
+    whole = sum((a + b) / 2 * width for a, b in zip(rates, rates[1:], strict=False))
+    out, done = F.lit(1.0), whole
+    for i in range(pieces - 1, -1, -1):
+        a, b = float(rates[i]), float(rates[i + 1])
+        done -= (a + b) / 2 * width
+        asked = F.greatest(part * whole - done, F.lit(0.0))
+        root = F.sqrt(F.greatest(F.lit(a * a) + asked * (2 * (b - a) / width), F.lit(0.0)))
+        own = F.when(asked > 0, F.least(F.lit(width), 2 * asked / (a + root))).otherwise(0.0) + i * width
+        out = own if i == pieces - 1 else F.when(part * whole > done + (a + b) / 2 * width, out).otherwise(own)
+    return out
 
 
 def scheduled(df: DataFrame, **options) -> DataFrame:
@@ -60,21 +71,22 @@ def scheduled(df: DataFrame, **options) -> DataFrame:
     return positioned(df, **options).withColumn("first", F.try_element_at("positions", F.lit(1))).orderBy(F.col("first").asc_nulls_last(), "u", "id").drop("first", "u", "id")
 
 
-def positioned(df: DataFrame, row_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, keep: list[str] | None = None) -> DataFrame:
+def positioned(df: DataFrame, row_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, schedules: tuple[tuple[float, ...], ...] = SCHEDULES, keep: list[str] | None = None) -> DataFrame:
     """A row for each row of df: `row` with the columns keep (default: the id), size, source_size, target, taken, copies, positions; u and id order them.
 
     size: words of the text (null: 0). copies: how often the mix takes the document, 0 to 2; taken = copies * size. A
     source's target is so many whole passes over its documents and a rest; the documents whose middle lies within the
     rest, in hash order of their ids, are taken once more. So a source misses its target by one document at most.
-    positions: training time of each copy, from 0 to 1.
+    positions: training time of each copy, from 0 to 1, by the schedule in the place of the source's weight.
 
-    Null sources are a source of their own, the last. Null ids share a hash and stay apart from other rows. Equal ids
+    Null sources are a source of their own, the last. Null ids are spread by a hash of their text. Equal ids
     are ordered by size; equal rows may change places, which changes nothing. An empty table gives an empty result, a
     source without words a target of 0. Other columns are only read where keep names them.
     """
     keep = [row_id] if keep is None else keep
-    given = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{row_id}`").alias("id"), source_key(F.col(f"`{source}`")).alias("key"), word_count(F.col(f"`{text}`")).alias("size"))
-    given = given.withColumn("u", F.coalesce(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(0)))
+    named = F.coalesce(F.col(f"`{row_id}`").cast("string"), F.concat(F.lit("text "), F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    spread = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long")
+    given = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{row_id}`").alias("id"), source_key(F.col(f"`{source}`")).alias("key"), word_count(F.col(f"`{text}`")).alias("size"), spread.alias("u"))
     if text in keep:  # texts are read again rather than written once more
         slim = saved(given.select("key", "size", "u"), "sizes")
     else:
@@ -93,7 +105,14 @@ def positioned(df: DataFrame, row_id: str = "doc_id", source: str = "source", te
     rows = rows.withColumn("passes", passes.cast("int")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     rows = rows.withColumn("copies", F.col("passes") + F.when(F.col("middle") <= F.col("rest"), 1).otherwise(0))
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.least(F.col("copies"), F.lit(MOST_EPOCHS))).otherwise(F.least(F.col("copies"), F.lit(1))))
-    when = F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies"), F.lit(1)) - 1), lambda k: time_of(F.least(F.lit(1.0), (k * F.col("source_size") + F.col("middle")) / F.col("target")), F.col("slope")))
+
+    def at(part: Column) -> Column:
+        out = F.lit(None).cast("double")
+        for i, rates in enumerate(schedules):
+            out = F.when(F.col("schedule") % len(schedules) == i, time_of(part, rates)).otherwise(out)
+        return out
+
+    when = F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies"), F.lit(1)) - 1), lambda k: at(F.least(F.lit(1.0), (k * F.col("source_size") + F.col("middle")) / F.col("target"))))
     rows = rows.withColumn("positions", F.when((F.col("copies") > 0) & (F.col("target") > 0), when).otherwise(F.array().cast("array<double>")))
     made = [F.col(c) for c in ("size", "source_size", "target")] + [(F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "positions"]
     return rows.select("row", *made, "u", "id")

@@ -55,7 +55,8 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.scheduled(read(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken")
+    first = F.round(F.try_element_at("positions", F.lit(1)), 6).alias("first_position")
+    return mixing.scheduled(read(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken", "copies", first)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,25 +142,26 @@ FROM d LEFT JOIN gone USING (doc_id)""",
     "op8_curriculum_mix": """
 WITH d AS (
   SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
-         coalesce(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT, 0) AS u
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || coalesce(text, ''))), 1, 8))::BIGINT AS u
   FROM documents),
 s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-         (ARRAY[5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS w
-  FROM d GROUP BY source),
-o AS (SELECT *, 2.0 * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST) AS place FROM s),
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS BIGINT) AS schedule FROM d GROUP BY source),
+o AS (SELECT *, (ARRAY[5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[schedule + 1] AS w, 2.0 * source_size AS cap FROM s),
+p AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS place FROM o),
 l AS (
   SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-  FROM o),
+  FROM p),
 t AS (
-  SELECT source, source_size, round(CAST(coalesce(least(cap, w * (SELECT level FROM l WHERE cap > w * level ORDER BY place LIMIT 1)), cap) AS DOUBLE), 6) AS target FROM l),
+  SELECT source, source_size, schedule, round(CAST(coalesce(least(cap, w * (SELECT level FROM l WHERE cap > w * level ORDER BY place LIMIT 1)), cap) AS DOUBLE), 6) AS target FROM l),
 m AS (
-  SELECT doc_id, size, source_size, target,
-         sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2 AS middle,
+  SELECT doc_id, size, source_size, target, (ARRAY[1.0::DOUBLE, 0.5::DOUBLE, 1.5::DOUBLE])[schedule + 1] AS a, (ARRAY[1.0::DOUBLE, 1.5::DOUBLE, 0.5::DOUBLE])[schedule + 1] AS b,
+         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) - size / 2 AS middle,
          CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(least(2, passes + CASE WHEN middle <= target - passes * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM m""",
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, passes + CASE WHEN middle <= target - passes * source_size THEN 1 ELSE 0 END AS n, least(1.0, middle / target) AS part FROM m)
+SELECT doc_id, size, source_size, target, CAST(least(2, n) * size AS BIGINT) AS taken, CAST(CASE WHEN size > 0 THEN least(2, n) ELSE least(1, n) END AS INTEGER) AS copies,
+       CASE WHEN (CASE WHEN size > 0 THEN least(2, n) ELSE least(1, n) END) > 0 AND target > 0
+            THEN round(CASE WHEN part > 0 THEN least(1.0, 2 * part / (a + sqrt(greatest(a * a + part * (2 * (b - a)), 0)))) ELSE 0 END, 6) END AS first_position
+FROM c""",
 }
