@@ -23,9 +23,11 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, a local session makes one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestar-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -71,7 +73,7 @@ def recorded() -> Iterator[list[DataFrame]]:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables that saved() wrote, when nothing reads them any more."""
+    """Delete tables that saved() wrote, when nothing reads them any more. One that is gone already stays gone."""
     for t in tables:
         spark = t.sparkSession
         there = spark._jvm.org.apache.hadoop.fs.Path(t.saved_at)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, binary, bucketed, forget, free_name, mix, release, rolling, saved, slices
+from .common import Words, binary, bucketed, forget, free_name, mix, recorded, release, rolling, saved, slices
 
 SHINGLE, PERCENT = 5, 80
 K, INDEXED = 64, 24
@@ -141,10 +141,29 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+class Forest:
+    """Which things are joined, directly or by others."""
+
+    def __init__(self, size: int):
+        self.up = list(range(size))
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Join two; False if they were."""
+        i, j = self.top(i), self.top(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
 def confirmed(tasks: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b) with a < b: the pairs of a task's left and right documents whose full sets are similar enough.
+    """(a, b) with a < b: links that join the same documents as all pairs of a task's left and right ones with similar enough full sets.
 
-    tasks: (id, task, left). A task has BLOCK documents a side, about.
+    tasks: (id, task, left). A task has BLOCK documents a side, about. A link between documents that others of its task
+    join already isn't repeated, so that a task's links are fewer than its documents.
     """
     kind = texts.schema["id"].dataType.simpleString()
     held = tasks.join(texts, "id").select("task", "left", "id", "text")
@@ -157,7 +176,8 @@ def confirmed(tasks: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
         rights, lefts = np.flatnonzero(~left), np.flatnonzero(left)
         values = np.concatenate([h[starts[i] : starts[i + 1]] for i in rights]) if len(rights) else h[:0]
         owner = np.repeat(np.arange(len(rights)), sizes[rights])
-        out: set[tuple] = set()
+        place = {x: i for i, x in enumerate(dict.fromkeys(ids))}
+        forest, out = Forest(len(place)), []
         for i in lefts:
             own = h[starts[i] : starts[i + 1]]
             if not len(own) or not len(values):
@@ -165,7 +185,7 @@ def confirmed(tasks: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             at = np.minimum(np.searchsorted(own, values), len(own) - 1)
             shared = np.bincount(owner[own[at] == values], minlength=len(rights))
             good = 100 * shared >= percent * (sizes[i] + sizes[rights] - shared)
-            out.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in rights[good] if ids[i] != ids[j])
+            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in rights[good] if forest.join(place[ids[i]], place[ids[j]])]
         return pa.table({"a": pa.array([x for x, _ in out], table["id"].type), "b": pa.array([y for _, y in out], table["id"].type)})
 
     return held.groupBy("task").applyInArrow(run, f"a {kind}, b {kind}").distinct()
@@ -237,9 +257,15 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", s
     are linked if 100 * common >= percent * all shingles. component_id: the smallest id reachable over links, the own
     included; kept: the id is its component's. Texts without a word (null, empty, blank) are linked with nothing. A null
     id has no component_id and is kept: it can't be named. Rows with equal ids are one document with several texts, and
-    linked. Other columns are not read. An empty table gives an empty result.
+    linked. Other columns are not read. An empty table gives an empty result. The result is a table of its own in the
+    shared folder; what was written on the way is deleted.
     """
-    return linked(bucketed(df.select(F.col(f"`{row_id}`"), F.col(f"`{text}`")), "texts", row_id), row_id, text, shingle, percent)
+    with recorded() as made:
+        found = linked(bucketed(df.select(F.col(f"`{row_id}`"), F.col(f"`{text}`")), "texts", row_id), row_id, text, shingle, percent)
+        found = saved(found, "near-duplicates")
+    forget(*[t for t in made if t is not found])
+    release(df.sparkSession)
+    return found
 
 
 def linked(df: DataFrame, row_id: str, text: str, shingle: int, percent: int) -> DataFrame:
@@ -311,8 +337,10 @@ def by_id(rows: DataFrame, shared: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, row_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """df's columns: of each component the rows of its smallest id, and every row that is linked with nothing."""
-    df = bucketed(df, "documents", row_id)
-    gone = linked(df, row_id, text, shingle, percent).filter("not kept").select(F.col(row_id).alias("gone_id")).distinct()
+    """df's columns: of each component the rows of its smallest id, and every row that is linked with nothing.
+
+    Null ids, texts without words, repeated rows and an empty table: see near_duplicates(). Columns of any name pass.
+    """
+    gone = near_duplicates(df, row_id, text, shingle, percent).filter("not kept").select(F.col(row_id).alias("gone_id")).distinct()
     key = free_name(df, "gone_id")
     return df.join(gone.withColumnRenamed("gone_id", key), F.col(f"`{row_id}`") == F.col(f"`{key}`"), "left_anti")

@@ -148,13 +148,14 @@ def test_whole_tokens_are_proved():
 # 4 sharding
 
 
-def test_hilbert_curve_is_a_walk():
-    for bits in (2, 3):
-        points = np.array([(x, y, z) for x in range(2**bits) for y in range(2**bits) for z in range(2**bits)])
-        index = sharding.hilbert_index(points, bits)
-        assert sorted(index) == list(range(len(points)))
-        walk = points[np.argsort(index)]
-        assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+def test_hilbert_curve_is_a_walk(spark):
+    for bits, n in ((2, 3), (3, 3), (3, 2), (4, 2)):
+        axes = [(F.col("id") / (1 << (bits * i))).cast("long") % (1 << bits) for i in range(n)]
+        rows = spark.range(1 << (bits * n)).select(*[a.cast("int").alias(f"x{i}") for i, a in enumerate(axes)])
+        got = rows.select("*", sharding.hilbert([F.col(f"x{i}") for i in range(n)], bits).alias("h")).collect()
+        walk = [tuple(r[:n]) for r in sorted(got, key=lambda r: r["h"])]
+        assert sorted(r["h"] for r in got) == list(range(1 << (bits * n)))
+        assert all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for p, q in zip(walk, walk[1:], strict=False))
 
 
 @pytest.mark.parametrize("n", [0, 5, 24, 477])
@@ -179,9 +180,45 @@ def test_shards_hold_equal_counts_in_curve_order(spark, n):
     assert have == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in zip(ids, texts, strict=True))
 
 
+def test_shards_equal_brute_force(spark):
+    """Each row's curve, shard and slot, from counts and sorts in Python."""
+    import zlib
+
+    rnd = random.Random(12)
+    texts = [rnd.choice(TEXTS) for _ in range(700)]
+    sources = [rnd.choice([None, "a", "b", "hot", "hot", "hot"]) for _ in texts]
+    ids = [rnd.choice([None, 2 * i, 2 * i]) for i in range(len(texts))]
+    df = docs(spark, texts, ids, sources)
+    got = Counter((r["doc_id"], r["size"], r["text_crc32"], r["curve"], r["shard"], r["slot"]) for r in sharding.assign_shards(df).collect())
+    n = len(texts)
+    ordered = sorted(sources, key=lambda x: (x is None, x or ""))
+    code = {x: ordered.index(x) * 32 // n for x in set(sources)}
+    rows = []
+    for i, t, c in zip(ids, texts, sources, strict=True):
+        b = (t or "").encode()
+        rows.append((i, len(b) + 8, zlib.crc32(b), (code[c], 0, min(31, int(math.log2(len(b) + 9) * 1.5)))))
+    index = {tuple(r[:3]): r["h"] for r in spark.createDataFrame(list({r[3] for r in rows}), "x int, y int, z int").select("*", sharding.hilbert([F.col(c) for c in "xyz"]).alias("h")).collect()}
+    cells = Counter(index[p] for *_, p in rows)
+    deal = lambda i, crc: int(hashlib.md5(f"{'' if i is None else i}|{crc}".encode()).hexdigest()[:8], 16)
+    rows = sorted(((h := index[p]), deal(i, crc) % -(-cells[h] // sharding.LEAST_ROWS), (i is not None, i or 0), crc, size, i) for i, size, crc, p in rows)
+    want = Counter()
+    for rank, (h, _, _, crc, size, i) in enumerate(rows):
+        shard = rank * 24 // n
+        want[i, size, crc, h, shard, rank - -(-shard * n // 24)] += 1
+    assert got == want
+
+
 def test_shards_are_written(spark, tmp_path):
-    sharding.write_shards(sharding.assign_shards(docs(spark, TEXTS)), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(TEXTS)
+    df = docs(spark, TEXTS).withColumn("shard", F.lit("mine"))
+    given = sharding.assign_shards(df, keep=df.columns)
+    assert given.columns == [*df.columns, "_shard", "slot"]
+    sharding.write_shards(given, str(tmp_path / "out"), "_shard", "slot", file_rows=10)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r["doc_id"], r["text"], r["shard"]) for r in back.collect()) == Counter((i, t, "mine") for i, t in enumerate(TEXTS))
+    assert len(list((tmp_path / "out").glob("_shard=*"))) == 24
+    for n, texts in enumerate(([], [None, None, "", ""])):
+        sharding.write_shards(sharding.assign_shards(docs(spark, texts), keep=["doc_id", "text"]), str(tmp_path / f"edge{n}"))
+        assert n == 0 or spark.read.parquet(str(tmp_path / f"edge{n}")).count() == 4
 
 
 # 8 mixing
@@ -231,9 +268,24 @@ def test_mix_meets_its_targets(spark):
 
 
 def test_schedules_invert(spark):
-    for a in mixing.SLOPES:
-        rows = spark.range(101).select((F.col("id") / 100).alias("q"), mixing.time_of(F.col("id") / 100, F.lit(a)).alias("t")).collect()
-        assert all(r["t"] + a * (r["t"] ** 2 - r["t"]) == pytest.approx(r["q"], abs=1e-9) for r in rows)
+    for rates in [*mixing.SCHEDULES, (0, 1, 4, 0), (3, 0, 0, 2)]:
+        rows = spark.range(101).select((F.col("id") / 100).alias("q"), mixing.time_of(F.col("id") / 100, rates).alias("t")).collect()
+        steps = 20_000
+        sums = np.concatenate(([0.0], np.cumsum(np.interp((np.arange(steps) + 0.5) / steps, np.linspace(0, 1, len(rates)), rates))))
+        for r in rows:
+            asked = sums[round(r["t"] * steps)] / sums[-1]
+            assert 0 <= r["t"] <= 1 and asked == pytest.approx(r["q"], abs=1e-3)
+
+
+def test_mix_of_null_ids_and_own_schedules(spark):
+    """Null ids are spread by their texts; a schedule that starts late puts its documents late."""
+    texts = [f"w {i}" for i in range(3000)]
+    sources = [("early", "late")[i % 2] for i in range(3000)]
+    rows = mixing.positioned(docs(spark, texts, [None] * 3000, sources), schedules=((1, 0), (0, 1)), keep=["source"])
+    got = rows.select("row.source", "u", F.try_element_at("positions", F.lit(1)).alias("at")).collect()
+    assert len({r["u"] for r in got}) > 2900
+    means = {s: np.mean([r["at"] for r in got if r["source"] == s and r["at"] is not None]) for s in ("early", "late")}
+    assert means["early"] < 0.5 < means["late"]
 
 
 def test_empty_mix(spark):
