@@ -2,61 +2,43 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet to the folder that
 the cluster shares and read again as the next stage's docs. All but the last return the columns of documents.
+
+What holds for all stages: null texts and texts without words are documents of no words; null ids, sources and languages
+are values of their own; repeated rows are rows of their own until near-duplicates; an empty table gives an empty result
+with the same columns; texts are handled whole; further columns pass unchanged through all stages but the last.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import decontaminate, mixing, near_dup, quality, sharding
-from lodestar.llm.common import forget, recorded, release, saved
-
-#: Tables that a stage's operator wrote on its way, by run: they go when the next stage starts, as its input is a table.
-_WAY: dict[str, list[DataFrame]] = {}
-
-
-def staged(stage):
-    """A stage that first frees what the stage before it has left in the shared folder and in shuffle files."""
-
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        forget(*_WAY.pop(sf_dir, []))
-        release(spark)
-        with recorded() as made:
-            out = stage(spark, docs, sf_dir)
-        _WAY[sf_dir] = made
-        return out
-
-    return run_stage
+from lodestar.llm.common import forget, saved
 
 
-@staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep. Null and empty texts go: they have too few words."""
     return quality.rejected_removed(docs)
 
 
-@staged
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates, that of the smallest id: five-word shingles, similarity 0.8 or more.
+
+    Texts without words and rows without an id are in no group and stay; rows with one id stay or go together.
+    """
     return near_dup.one_of_each(docs)
 
 
-@staged
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, re-parameterised ones included."""
+    """Documents that hold no benchmark item, re-parameterised ones included. Null and empty texts hold none."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@staged
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it, in the order of the curriculum."""
     return mixing.mix(docs)
 
 
-@staged
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard and slot of every document of the mix, along the Hilbert curve of source, language and size."""
     return sharding.assign_shards(docs)
@@ -68,8 +50,25 @@ STAGES = [("quality rules", quality_rules), ("near-duplicates", near_duplicates)
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents after all stages but the last, as a table in the shared folder; the tables before it are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            forget(before)
+        before = docs
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards of the mix. A result reads tables of its own run alone, which stay until the shared folder is cleared."""
+    return STAGES[-1][1](spark, mixed(spark, sf_dir), sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the mix itself to path: documents with their shard and slot, a folder for each shard, in files by slot."""
+    docs = mixed(spark, sf_dir)
+    sharding.write_shards(sharding.assign_shards(docs, keep=docs.columns), path)
+    forget(docs)
