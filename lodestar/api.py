@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .model import BUDGETS, RATIONALE_AUTO, IndexConfig, Weights, resolve_budget, top_k
+from .functions import stopnames
+from .functions.text import expand, new_terms, with_concepts
+from .model import BUDGETS, RATIONALE_AUTO, SCHEMAS, IndexConfig, Weights, resolve_budget, top_k
 from .operators import change, graph, history, memory, reports, search, vectors
 from .plans import ask, explore, index
 from .sources import records, trees
@@ -19,16 +23,38 @@ MOST_SEEDS = 200
 class Project:
     """A source tree below root with an index in the folder `store`; tables are read lazily and kept for the session."""
 
-    def __init__(self, spark: SparkSession, root: str, store: str, config: IndexConfig | None = None, vectors_path: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, store: str, config: IndexConfig | None = None, vectors_path: str | None = None, stop: DataFrame | None = None):
         self.spark, self.root, self.store, self.config, self.vectors_path = spark, root, store, config or IndexConfig(), vectors_path
+        self.stop = stopnames.stop_table(spark) if stop is None else stop
         self._index: index.Index | None = None
 
     # index
 
     def index(self, full: bool = False) -> Project:
-        """Build the index, or bring it up to date where there is one."""
-        old = None if full or not Path(self.store, "index", "current").exists() else index.load(self.spark, f"{self.store}/index")
-        made = index.full(self.spark, self.root, self.config) if old is None else index.incremental(self.spark, old, self.root, self.config)
+        """Build the index, or bring it up to date where there is one of this schema."""
+        old = None if full else self.known()
+        made = index.full(self.spark, self.root, self.config, self.stop) if old is None else index.incremental(self.spark, old, self.root, self.config, self.stop)
+        return self.written(made)
+
+    def index_paths(self, paths: list[str]) -> Project:
+        """Read these files again and no others; without an index, a full one is built."""
+        if not paths:
+            raise ValueError("no paths given")
+        old = self.known()
+        return self.index(full=True) if old is None else self.written(index.targeted(self.spark, old, self.root, paths, self.config, self.stop))
+
+    def index_changed(self) -> Project:
+        """Read again what git says has changed."""
+        old = self.known()
+        return self.index(full=True) if old is None else self.written(index.changed(self.spark, old, self.root, self.config, self.stop))
+
+    def known(self) -> index.Index | None:
+        try:
+            return index.load(self.spark, f"{self.store}/index")
+        except (FileNotFoundError, ValueError):
+            return None
+
+    def written(self, made: index.Index) -> Project:
         self._index = made.write(f"{self.store}/index")
         return self
 
@@ -90,6 +116,31 @@ class Project:
             hits = vectors.top_k(self.vectors(), query, 2 * self.k(budget)).join(self.symbols.select("id", "path"), "id")
         return ask.ask(self.symbols, self.files(), self.tables.relations, text, budget, weights, hits)
 
+    def ask_context(self, text: str, budget: str = "small", include: tuple[str, ...] = ("code",), **options: object) -> dict[str, DataFrame]:
+        """The packet and the layers asked for beside it: code (first lines of each item), rationale, history (of its files)."""
+        packet = self.ask(text, budget, **options)
+        out = {"packet": packet}
+        if "code" in include:
+            spans = self.symbols.select("path", "name", F.col("span.start_line").alias("a"), F.least(F.col("span.end_line"), F.col("span.start_line") + max(BUDGETS[budget][1], 1) - 1).alias("b"))
+            picked = F.broadcast(packet.select("rank", "path", "name").join(spans, ["path", "name"]))  # as many rows as the budget has
+            body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+            out["code"] = self.lines().join(picked, "path").filter(F.col("line").between(F.col("a"), F.col("b"))).groupBy("rank", "path", "name").agg(body.alias("code")).orderBy("rank")
+        if "rationale" in include:
+            out["rationale"] = self.rationale(text, budget)
+        if "history" in include:
+            commits, files = self.log(history.WINDOW)
+            rows = files.join(F.broadcast(packet.select("path").distinct()), "path", "left_semi").join(commits, "hash")
+            place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("ts"), "hash"))
+            out["history"] = rows.withColumn("place", place).filter(F.col("place") <= BUDGETS[budget][4]).drop("place")
+        return out
+
+    def new_terms(self, text: str) -> list[str]:
+        """What a concept search adds to the words of a question."""
+        return new_terms(expand(text).words)
+
+    def concept_search(self, text: str, budget: str = "small") -> DataFrame:
+        return search.semantic_keyword(self.symbols, " ".join(with_concepts(expand(text).words)), self.k(budget))
+
     def investigate(self, text: str, budget: str = "small") -> DataFrame:
         return explore.investigate(self.symbols, self.files(), self.tables.relations, records.changed_paths(self.spark, self.root), text, budget)
 
@@ -133,8 +184,13 @@ class Project:
         return graph.callees(self.symbols, self.tables.relations, name)
 
     def why_no_callers(self, name: str) -> str:
-        dropped = self.symbols.join(self.tables.dropped.select(F.col("target_id").alias("id")).distinct(), "id").select("name").distinct()
-        return graph.no_callers_because(self.symbols, self.tables.relations, name, [r["name"] for r in dropped.filter(F.col("name") == name).collect()])
+        return self.why_no_edges(name, "callers")
+
+    def why_no_edges(self, name: str, side: str = "callers") -> str:
+        """Why a list of callers or callees is empty."""
+        dropped = self.tables.dropped.select(F.col("target_id" if side == "callers" else "source_id").alias("id")).distinct()
+        busy = bool(self.symbols.filter(F.col("name") == name).join(dropped, "id", "left_semi").head(1))
+        return graph.no_callers_because(self.symbols, self.tables.relations, name, [name] if busy else [], tuple(stopnames.names()) if side == "callers" else ())
 
     def affected(self, name: str, depth: int = 3) -> DataFrame:
         """(id, name, path, depth) of what reaches a symbol of this name or its file."""
@@ -149,6 +205,12 @@ class Project:
         together = history.partners(history.co_change_pairs(self.log(history.WINDOW)[1])).groupBy("path").agg(F.count(F.lit(1)).alias("partners"))
         return graph.coupling(edges.select("source", "target"), together).orderBy(F.desc("risk_score"), "path").limit(k)
 
+    def affected_provenance(self, name: str, depth: int = 3) -> DataFrame:
+        """affected() with the kind of edge that leads a step nearer."""
+        own = self.symbols.filter(F.col("name_lower") == name.lower())
+        seeds = own.select(F.explode(F.array("id", "file_id")).alias("id")).distinct().withColumn("seed", F.lit(name))
+        return change.affected_with_reasons(self.tables.relations, seeds, depth).join(self.symbols.select("id", "name", "path"), "id")
+
     # changes
 
     def log(self, most: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -185,12 +247,48 @@ class Project:
     def verify_change(self, depth: int = 3) -> DataFrame:
         return change.verify_change(self.hunks(), self.symbols, self.tables.relations, self.tables.files, self.log(history.WINDOW)[1], depth)
 
+    def contract_changes(self) -> DataFrame:
+        return change.contract_changes(self.changed(), self.hunks())
+
     def history(self, path: str, budget: str = "small") -> DataFrame:
-        return history.file_history(*self.log(), path, BUDGETS[budget][4])
+        """Commits of a path, through its renames."""
+        commits, files = records.log(self.spark, self.root, path=path)
+        return history.file_history(commits, files.withColumn("path", F.lit(path)), path, BUDGETS[budget][4])
+
+    def symbol_history(self, name: str, budget: str = "small") -> DataFrame:
+        """Commits that touched the lines of a symbol: those of a blame of its span, newest first."""
+        own = self.get_symbol(name).select("path", "span.start_line", "span.end_line").first()
+        if own is None:
+            return self.log(1)[0].limit(0)
+        lines = records.blame(self.spark, self.root, own["path"], own["start_line"], own["end_line"])
+        return self.log()[0].join(lines.select("hash").distinct(), "hash", "left_semi").orderBy(F.desc("ts"), "hash").limit(BUDGETS[budget][4])
+
+    def change_timeline(self, path: str) -> DataFrame:
+        said = self.memories().filter("kind = 'decision'").select(F.to_timestamp("updated_at").alias("ts"), F.coalesce("title", "content").alias("text"), memory.anchors(F.col("content")).alias("anchors"), F.try_element_at("related_files", F.lit(1)).alias("path"))
+        return history.timeline(*self.log(), said, path)
 
     def blame(self, path: str, start: int, end: int) -> DataFrame:
         return history.first_of_runs(records.blame(self.spark, self.root, path, start, end), "path", "line", "hash")
 
+    # annotations
+
+    def annotations(self) -> DataFrame:
+        path = Path(self.store, "annotations")
+        return records.annotations(self.spark, str(path)) if path.exists() else self.spark.createDataFrame([], SCHEMAS["annotations"])
+
+    def annotate(self, path: str, purpose: str, terms: dict[str, str] | None = None) -> None:
+        """Say what a file is for; a file's own doc still wins over it."""
+        own = self.tables.files.filter(F.col("path") == path).select("hash").first()
+        if own is None:
+            raise ValueError(f"not indexed: {path}")
+        records.write_annotations(reports.upsert_annotation(self.annotations(), path, purpose, own["hash"], datetime.now(UTC).isoformat(timespec="seconds"), terms), f"{self.store}/annotations")
+
+    def forget_annotation(self, path: str) -> None:
+        records.write_annotations(reports.without_annotation(self.annotations(), path), f"{self.store}/annotations")
+
+    def annotation_queue(self, k: int = 10) -> DataFrame:
+        return reports.annotation_queue(self.files(), self.tables.relations, k)
+
     # memory
 
     def memories(self) -> DataFrame:
@@ -227,6 +325,16 @@ class Project:
         """Symbols without a vector of their present text."""
         return vectors.stale(self.vectors(), vectors.embed_text(self.symbols))[0]
 
+    def sync_vectors(self, embedder: vectors.HashingEmbedder) -> None:
+        """Embed what has no vector of its present text, drop what is gone; the new store stands beside the old one until it is whole."""
+        target = f"{self.vectors_path.rstrip('/')}-{uuid.uuid4().hex}"
+        known = self.vectors() if Path(self.vectors_path).exists() else self.spark.createDataFrame([], SCHEMAS["embeddings"])
+        vectors.synced(known, vectors.embed_text(self.symbols), embedder).write.parquet(target)
+        self.vectors_path = target
+
+    def vector_status(self) -> DataFrame:
+        return vectors.coverage(self.vectors(), vectors.embed_text(self.symbols))
+
     def export_jsonl(self, path: str) -> None:
         t = self.tables
         reports.jsonl(file=t.files, symbol=t.symbols, relation=t.relations, memory=t.memories).write.text(path)

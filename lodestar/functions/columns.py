@@ -210,3 +210,17 @@ def memory_terms(text: Column, stop: tuple[str, ...]) -> Column:
     """Distinct lower-case terms of three characters or more that are no stop words."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
     return F.array_distinct(F.filter(words, lambda w: (F.octet_length(w) >= 3) & ~w.isin(list(stop))))
+
+
+def version_of(tag: Column) -> Column:
+    """A release tag like v2.6.1-rc1 as its three numbers (the last 0 where missing); null for anything else."""
+    form = r"^\s*v*([0-9]+)\.([0-9]+)(?:\.([0-9]+))?(?:[-+].*)?\s*$"
+    part = lambda i: F.regexp_extract(tag, form, i)
+    return F.when(tag.rlike(form), F.array(part(1).cast("long"), part(2).cast("long"), F.coalesce(F.nullif(part(3), F.lit("")).cast("long"), F.lit(0))))
+
+
+def is_newer(candidate: Column, current: Column) -> Column:
+    """Whether one release tag is above another; false where either is none."""
+    a, b = version_of(candidate), version_of(current)
+    order = F.when(a[0] != b[0], a[0] > b[0]).when(a[1] != b[1], a[1] > b[1]).otherwise(a[2] > b[2])
+    return F.coalesce(order, F.lit(False))

@@ -156,6 +156,28 @@ def expand(text: str, groups: tuple[tuple[str, ...], ...] = SYNONYMS) -> Query:
     return Query(text, tuple(tokens))
 
 
+#: What else is said where a concept is meant; a starting vocabulary, pass your own for a project's.
+CONCEPTS = {
+    "auth": ("login", "token", "session", "password"), "login": ("auth", "session", "credential"), "permission": ("role", "access", "policy"), "database": ("query", "connection", "schema", "pool"),
+    "cache": ("store", "invalidate", "expire"), "request": ("handler", "route", "endpoint"), "route": ("handler", "endpoint", "controller"), "middleware": ("handler", "filter", "chain"),
+    "error": ("exception", "panic", "fail"), "retry": ("backoff", "attempt", "fallback"), "async": ("await", "future", "task"), "thread": ("lock", "mutex", "pool"),
+    "parse": ("token", "lexer", "syntax"), "test": ("assert", "mock", "fixture"), "config": ("settings", "env", "options"), "log": ("trace", "metrics", "span"),
+    "file": ("path", "read", "write"), "render": ("view", "template", "layout"), "search": ("index", "query", "rank"), "event": ("listener", "emit", "handler"),
+}
+
+
+def with_concepts(words: list[str], concepts: dict[str, tuple[str, ...]] | None = None) -> list[str]:
+    """words, then the concepts' terms for them (by the word or its stem), each once."""
+    table = CONCEPTS if concepts is None else concepts
+    more = [t for w in words for key in [w, *stem_variants(w)] if key in table for t in table[key]]
+    return list(dict.fromkeys([*words, *more]))
+
+
+def new_terms(words: list[str], concepts: dict[str, tuple[str, ...]] | None = None) -> list[str]:
+    """What with_concepts() adds to the words."""
+    return [w for w in with_concepts(words, concepts) if w not in words]
+
+
 def camel(words: list[str]) -> str:
     return words[0] + "".join(w[:1].upper() + w[1:] for w in words[1:]) if words else ""
 

@@ -68,8 +68,11 @@ class Weights:
 
 @dataclass(frozen=True)
 class IndexConfig:
-    """How a tree is indexed."""
+    """How a tree is indexed. ignore: names or globs; languages: None for all."""
 
+    languages: tuple[str, ...] | None = None
+    index_hidden: bool = False
+    follow_symlinks: bool = False
     ignore: tuple[str, ...] = (".git", "node_modules", "target", "dist", "build", ".venv", "__pycache__")
     max_file_bytes: int = 2 << 20
     max_symbols_per_file: int = 10_000

@@ -75,18 +75,43 @@ def untested(changed: DataFrame, symbols: DataFrame, relations: DataFrame, files
     return rows.join(paired, "path", "left_anti").join(tests.select("path").distinct(), "path", "left_anti").join(called, "id", "left_anti")
 
 
+def contract_changes(changed: DataFrame, hunks: DataFrame) -> DataFrame:
+    """(id, name, path) of changed exported symbols whose head, their first line, a hunk (path, start, end) touches."""
+    at = changed.filter("exported").select("id", "name", "path", F.col("span.start_line").alias("line"))
+    ranges = hunks.select("path", F.col("start").alias("h_start"), F.col("end").alias("h_end"))
+    return at.join(ranges, "path").filter(F.col("line").between(F.col("h_start"), F.col("h_end"))).select("id", "name", "path").distinct()
+
+
+def affected_with_reasons(relations: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
+    """(seed, id, depth, via): graph.affected() with the kind of edge that leads a step nearer, the strongest of several."""
+    edges = relations.filter(F.col("kind").isin("calls", "imports", "test_for")).select(F.col("source_id").alias("id"), F.col("target_id").alias("next"), "kind")
+    hit = graph.affected(graph.dependency_edges(relations), seeds, depth)
+    nearer = hit.select("seed", F.col("id").alias("next"), F.col("depth").alias("before")).unionByName(seeds.select("seed", F.col("id").alias("next"), F.lit(0).alias("before")))
+    rank = F.when(F.col("kind") == "calls", 0).when(F.col("kind") == "imports", 1).otherwise(2)
+    steps = hit.join(edges, "id").join(nearer, ["seed", "next"]).filter(F.col("before") == F.col("depth") - 1)
+    return steps.groupBy("seed", "id", "depth").agg(F.min_by("kind", rank).alias("via"))
+
+
 def verify_change(hunks: DataFrame, symbols: DataFrame, relations: DataFrame, files: DataFrame, commit_files: DataFrame, depth: int = 3) -> DataFrame:
-    """One row: changed symbols, blast radius, tests, untested symbols, missing companions, risk."""
+    """One row: changed symbols, contracts among them, blast radius, tests, untested symbols, missing companions, risk, summary.
+
+    clean: nothing is missing, untested or at high risk. Without a hunk the summary says so and the row is clean.
+    """
     from . import history
 
     spans = symbols.withColumns({"start": F.col("span.start_line"), "end": F.col("span.end_line")})
     changed = overlapping(spans, hunks.select("path", F.col("start").alias("h_start"), F.col("end").alias("h_end"))).select(*symbols.columns).dropDuplicates(["id"])
+    changed = graph.cut(changed)
     seeds = changed.select(F.lit("diff").alias("seed"), "id")
     radius = graph.affected(graph.dependency_edges(relations), seeds, depth).join(changed.select("id"), "id", "left_anti")
     tests = smart_tests(changed, symbols, relations, files)
     missing = history.missing_co_changes(commit_files, hunks.select("path"))
     n = lambda d, c: d.agg(F.count(F.lit(1)).alias(c))
-    row = n(changed, "changed").crossJoin(n(radius, "affected")).crossJoin(n(tests, "tests")).crossJoin(n(untested(changed, symbols, relations, files), "untested")).crossJoin(n(missing, "missing_co_changes"))
+    row = n(hunks.select("path").distinct(), "files").crossJoin(n(changed, "changed")).crossJoin(n(contract_changes(changed, hunks), "contracts")).crossJoin(n(radius, "affected")).crossJoin(n(tests, "tests"))
+    row = row.crossJoin(n(untested(changed, symbols, relations, files), "untested")).crossJoin(n(missing, "missing_co_changes"))
     base = C.risk_level(F.col("affected"), F.col("tests"))
     raised = F.when((F.col("untested") > 0) | (F.col("missing_co_changes") > 0), F.when(base == "LOW", "MEDIUM").otherwise("HIGH")).otherwise(base)
-    return row.withColumn("risk", raised)
+    row = row.withColumn("risk", raised)
+    clean = (F.col("untested") == 0) & (F.col("missing_co_changes") == 0) & (F.col("risk") != "HIGH")
+    said = F.format_string("%d symbols changed in %d files, %d affected, %d tests to run, %d without a test; risk %s", "changed", "files", "affected", "tests", "untested", "risk")
+    return row.withColumns({"clean": clean, "summary": F.when(F.col("files") == 0, "no changes").otherwise(said)})

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.stopnames import GROUPS
 
 STRONG = 0.7
 
@@ -18,11 +19,23 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestar-graph-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/lodestar-walk-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def dropped_cuts(cuts: list[DataFrame]) -> None:
+    """Delete tables of cut() that nothing reads any more."""
+    for c in cuts:
+        spark = c.sparkSession
+        there = spark._jvm.org.apache.hadoop.fs.Path(c.cut_at)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def callers(symbols: DataFrame, relations: DataFrame, name: str) -> DataFrame:
@@ -61,9 +74,9 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, stop: DataFrame | None =
     """(source_id, target_id, kind, weight) from calls (path, caller_id, callee, is_method).
 
     A free call means the one definition of its name in its file, else the one in the tree; a method call the latter.
-    Nothing calls itself. Names in stop (name) are left out.
+    Nothing calls itself. Names in stop (name, or name and language group, null for all) are left out.
     """
-    own = calls.join(F.broadcast(stop).withColumnRenamed("name", "callee"), "callee", "left_anti") if stop else calls
+    own = calls if stop is None else not_stopped(calls, stop)
     callable_ = symbols.filter(F.col("kind").isin("function", "method"))
     here = unique_by(callable_, "path", "name").select("path", F.col("name").alias("callee"), F.col("id").alias("here"))
     anywhere = unique_by(callable_, "name").select(F.col("name").alias("callee"), F.col("id").alias("anywhere"))
@@ -73,6 +86,18 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, stop: DataFrame | None =
     return rows.distinct().select("source_id", "target_id", F.lit("calls").alias("kind"), F.lit(1.0).cast("float").alias("weight"))
 
 
+def not_stopped(calls: DataFrame, stop: DataFrame) -> DataFrame:
+    """calls without those whose callee is a stop name in the language of the calling file; an unknown one counts as any."""
+    if "language" not in stop.columns:
+        return calls.join(F.broadcast(stop.select(F.col("name").alias("callee")).distinct()), "callee", "left_anti")
+    language = C.language_of(F.col("path"))
+    shared = F.create_map(*[F.lit(x) for kv in GROUPS.items() for x in kv])
+    rows = calls.withColumn("_group", F.coalesce(F.try_element_at(shared, language), language))
+    held = F.broadcast(stop.select(F.col("name").alias("_name"), F.col("language").alias("_language")))
+    fits = (F.col("callee") == F.col("_name")) & (F.col("_language").isNull() | (F.col("_language") == F.col("_group")) | (F.col("_group") == "unknown"))
+    return rows.join(held, fits, "left_anti").drop("_group")
+
+
 def without_noise(calls: DataFrame, paths: DataFrame, most: int = 25, cross_file: bool = True) -> tuple[DataFrame, DataFrame]:
     """Kept and dropped calls: cross-file ones only, callees with more than `most` calling files dropped (0: none)."""
     rows = calls.join(paths.select(F.col("id").alias("source_id"), F.col("path").alias("source_path")), "source_id").join(paths.select(F.col("id").alias("target_id"), F.col("path").alias("target_path")), "target_id")
@@ -93,17 +118,20 @@ def affected(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """(seed, id, depth): what reaches a seed over at most `depth` edges backwards, with the least depth.
 
     All seeds walk in one pass, level by level; each level is one join with the edges and one anti join with what is
-    known, cut off by a table in the shared folder.
+    known, cut off by a table in the shared folder; the levels go when the result's own table is written.
     """
     front = cut(seeds.select("seed", "id").distinct().withColumn("depth", F.lit(0)))
-    known = front
+    known, levels = front, [front]
     for level in range(1, depth + 1):
         step = front.select("seed", "id").join(edges, F.col("id") == F.col("target")).select("seed", F.col("source").alias("id")).distinct()
         front = cut(step.join(known.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(level)))
         known = known.unionByName(front)
+        levels.append(front)
         if not front.head(1):
             break
-    return known.filter("depth > 0")
+    out = cut(known.filter("depth > 0"))
+    dropped_cuts(levels)
+    return out
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, tests: DataFrame, depth: int = 3) -> DataFrame:

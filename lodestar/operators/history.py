@@ -71,12 +71,29 @@ def file_history(commits: DataFrame, commit_files: DataFrame, path: str, n: int)
     return rows.crossJoin(F.broadcast(first)).withColumn("introduced", F.coalesce(F.col("hash") == F.col("first"), F.lit(False))).drop("first", "status").orderBy(F.desc("ts"), "hash").limit(n)
 
 
+def symbol_history(commits: DataFrame, commit_hunks: DataFrame, path: str, start: int, end: int, n: int) -> DataFrame:
+    """(hash, ts, author, message) of commits with a hunk (hash, path, start, end) in these lines of a path, newest first.
+
+    Lines are those of each commit's own state, as a history by line ranges has them.
+    """
+    hit = commit_hunks.filter((F.col("path") == path) & (F.col("start") <= end) & (F.col("end") >= start)).select("hash").distinct()
+    return commits.join(hit, "hash", "left_semi").orderBy(F.desc("ts"), "hash").limit(n)
+
+
 def timeline(commits: DataFrame, commit_files: DataFrame, decisions: DataFrame, path: str) -> DataFrame:
-    """(ts, event, text): commits of a path and decisions (ts, text, anchors, path) that name it."""
-    own = commits.join(commit_files.filter(F.col("path") == path), "hash").select("ts", F.lit("commit").alias("event"), F.col("message").alias("text"))
+    """(ts, event, text): a path's first commit as introduced, the others as commits, decisions that name it, and high churn.
+
+    decisions: (ts, text, anchors, path). A path's churn is high over twice the mean; it is told at the path's last commit.
+    """
+    rows = commits.join(commit_files.filter(F.col("path") == path).select("hash").distinct(), "hash", "left_semi")
+    ends = rows.agg(F.min_by("hash", F.struct("ts", "hash")).alias("first"), F.max("ts").alias("last"))
+    event = F.when(F.col("hash") == F.col("first"), "introduced").otherwise("commit")
+    own = rows.crossJoin(F.broadcast(ends)).select("ts", event.alias("event"), F.col("message").alias("text"))
+    busy = high_churn(commit_counts(commit_files)).filter(F.col("path") == path)
+    churned = busy.crossJoin(F.broadcast(ends)).select(F.col("last").alias("ts"), F.lit("high churn").alias("event"), F.concat(F.col("churn").cast("string"), F.lit(" commits")).alias("text"))
     name = path.rsplit("/", 1)[-1].lower()
     said = decisions.filter((F.col("path") == path) | F.exists("anchors", lambda a: F.lit(name).contains(a))).select("ts", F.lit("decision").alias("event"), "text")
-    return own.unionByName(said).orderBy(F.desc("ts"), "event", "text")
+    return own.unionByName(churned).unionByName(said).orderBy(F.desc("ts"), "event", "text")
 
 
 def first_of_runs(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:

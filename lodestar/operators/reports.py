@@ -158,5 +158,39 @@ def case_scores(results: DataFrame) -> DataFrame:
     return results.select("id", F.round(score, 3).alias("score"))
 
 
+PURPOSE_CHARS = 300
+
+
+def upsert_annotation(annotations: DataFrame, path: str, purpose: str, content_hash: str, at: str, terms: dict[str, str] | None = None) -> DataFrame:
+    """annotations with one file's purpose set or replaced; its terms are added to those it has."""
+    if not purpose.strip() or len(purpose) > PURPOSE_CHARS:
+        raise ValueError(f"a purpose has 1 to {PURPOSE_CHARS} characters")
+    spark = annotations.sparkSession
+    new = spark.createDataFrame([(path, purpose.strip(), terms or {}, content_hash, at)], "path string, purpose string, terms map<string,string>, content_hash string, annotated_at string")
+    known = annotations.filter(F.col("path") == path).select("path", F.col("terms").alias("before"))
+    own = new.join(known, "path", "left").withColumn("terms", F.map_zip_with(F.coalesce("before", F.create_map().cast("map<string,string>")), "terms", lambda k, a, b: F.coalesce(b, a)))
+    return annotations.filter(F.col("path") != path).unionByName(own.select(*annotations.columns))
+
+
+def without_annotation(annotations: DataFrame, path: str) -> DataFrame:
+    return annotations.filter(F.col("path") != path)
+
+
+def capped(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:
+    """The first k rows in this order, with `note`: what is left out, null where nothing is."""
+    n = rows.agg(F.count(F.lit(1)).alias("_n"))
+    note = F.when(F.col("_n") > k, F.concat(F.lit(f"showing {k} of "), F.col("_n").cast("string")))
+    return rows.orderBy(*order).limit(k).crossJoin(F.broadcast(n)).withColumn("note", note).drop("_n")
+
+
+def export_counts(**tables: DataFrame) -> DataFrame:
+    """(type, rows) of what jsonl() writes."""
+    out = None
+    for kind, rows in tables.items():
+        n = rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(kind).alias("type"), "rows")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 def per_key(rows: DataFrame, by: str, order: Column, k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("place") <= k).drop("place")

@@ -11,12 +11,18 @@ from ..model import Weights, top_k
 from ..operators import ranking, search, vectors
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """A few rows, bounded by the budget, made once and kept in the plan."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def strategies(symbols: DataFrame, files: DataFrame, relations: DataFrame, text: str, budget: str, w: Weights, hits: DataFrame | None = None) -> DataFrame:
     """(id, path, name, score, why, ordinal): names, symbols of matching files, their imports, siblings, vector hits."""
     k = top_k(budget)
     q = expand(text)
     shown = lambda d, rank, why: d.select("id", "path", "name", "score", "ordinal", F.lit(rank).alias("rank"), F.lit(why).alias("why"))
     by_name = search.scored(symbols, q).withColumn("score", F.col("score") * w.exact_name).orderBy(F.desc("score"), "ordinal").limit(4 * k)
+    by_name = held(by_name.select("id", "path", "name", "score", "ordinal"))  # 4 k rows, scored once for all strategies
     matched = search.find_files(files, symbols, text, k)
     in_files = symbols.join(matched.select("path", F.col("score").alias("file_score")), "path")
     relevant = C.any_of([C.name_strength(t, F.col("name_lower"), F.col("name_words")) > 0 for t in q.tokens])
@@ -39,7 +45,7 @@ def strategies(symbols: DataFrame, files: DataFrame, relations: DataFrame, text:
 def ask(symbols: DataFrame, files: DataFrame, relations: DataFrame, text: str, budget: str = "small", weights: Weights | None = None, hits: DataFrame | None = None) -> DataFrame:
     """(query_id, intent, rank, path, name, score, why): the packet that answers a question."""
     w = weights or Weights()
-    pool = strategies(symbols, files, relations, text, budget, w, hits).withColumn("query_id", F.lit(text))
+    pool = held(strategies(symbols, files, relations, text, budget, w, hits).withColumn("query_id", F.lit(text)))  # some rows for each of 4 k names and k files
     picked = ranking.diverse(pool, top_k(budget), w)
     why = pool.groupBy("path", "name").agg(F.max_by("why", "score").alias("why"))
     return picked.join(why, ["path", "name"]).select("query_id", F.lit(detect_intent(text.lower().split())).alias("intent"), "rank", "path", "name", "score", "why")

@@ -6,6 +6,7 @@ parses the changed files alone and derives edges from kept and new rows together
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass, fields
 
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..model import IndexConfig
 from ..operators import graph
-from ..sources import parsers, trees
+from ..sources import parsers, records, trees
 
+SCHEMA_VERSION = 2
 NEAR_STEM, MOST_STEMS, MOST_TESTED = 4, 3, 5
 PROXIMITY = ((0, 1.0), (1, 0.9), (2, 0.8), (3, 0.6))
 CONFIG_FILE = r"(?i)(^|/)(config|settings)[^/]*\.(py|js|ts|json|ya?ml|toml)$|(^|/)[^/]*\.(toml|ya?ml|ini|env|cfg)$|(^|/)(package|tsconfig)\.json$"
@@ -32,18 +34,32 @@ class Index:
     memories: DataFrame
 
     def write(self, path: str) -> Index:
-        """All tables into a new snapshot folder below path; a reader sees it whole once `current` names it."""
-        name = uuid.uuid4().hex
+        """All tables into a new snapshot below path; a reader sees it once its `ready` mark is there, and the old one until then."""
         spark = self.files.sparkSession
+        name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
         for f in fields(self):
             getattr(self, f.name).write.parquet(f"{path}/{name}/{f.name}")
-        spark.createDataFrame([(name, 1)], "snapshot string, schema_version int").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+        spark.createDataFrame([(SCHEMA_VERSION,)], "schema_version int").coalesce(1).write.json(f"{path}/{name}/ready")
         return load(spark, path)
 
 
+def snapshots(spark: SparkSession, path: str) -> list[str]:
+    """Complete snapshots below path, the newest last: the committed mark is written after all tables."""
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/ready/_SUCCESS")) or []
+    return sorted(m.getPath().getParent().getParent().getName() for m in marks)
+
+
 def load(spark: SparkSession, path: str) -> Index:
-    name = spark.read.schema("snapshot string, schema_version int").json(f"{path}/current").first()["snapshot"]
-    return Index(*[spark.read.parquet(f"{path}/{name}/{f.name}") for f in fields(Index)])
+    """The newest complete snapshot below path."""
+    found = snapshots(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no index at {path}")
+    version = spark.read.schema("schema_version int").json(f"{path}/{found[-1]}/ready").first()[0]
+    if version != SCHEMA_VERSION:
+        raise ValueError(f"the index at {path} has schema {version}, not {SCHEMA_VERSION}: index the tree again")
+    return Index(*[spark.read.parquet(f"{path}/{found[-1]}/{f.name}") for f in fields(Index)])
 
 
 def stem(path: Column) -> Column:
@@ -142,3 +158,28 @@ def incremental(spark: SparkSession, old: Index, root: str, config: IndexConfig
     kept = old.raw.join(dirty, "path", "left_anti").join(files.select("path"), "path", "left_semi")
     raw = kept.unionByName(fresh)
     return derived(with_docs(files, raw), raw, config, stop)
+
+
+def targeted(spark: SparkSession, old: Index, root: str, paths: list[str], config: IndexConfig | None = None, stop: DataFrame | None = None) -> Index:
+    """old with the given files (relative to root) read again: new ones added, vanished ones gone, no other file opened.
+
+    Edges are derived from the rows of all files, so that the result equals a full index if no other file has changed.
+    A path outside root is an error, and nothing is indexed.
+    """
+    config = config or IndexConfig()
+    rel = [records.pathless(p, root) for p in paths]
+    if outside := [p for p, r in zip(paths, rel, strict=True) if r is None]:
+        raise ValueError(f"outside {root}: {', '.join(outside)}")
+    named = spark.createDataFrame([(r,) for r in sorted(set(rel))], "path string")
+    rows = trees.read_tree(spark, root, config, paths=rel)
+    fresh_files = trees.file_entries(rows)
+    files = old.files.join(F.broadcast(named), "path", "left_anti").select(*old.files.columns).unionByName(fresh_files)
+    fresh = parsers.parsed(rows.join(fresh_files.select("path", "id", "language"), "path"))
+    raw = old.raw.join(F.broadcast(named), "path", "left_anti").unionByName(fresh)
+    return derived(with_docs(files, raw), raw, config, stop)
+
+
+def changed(spark: SparkSession, old: Index, root: str, config: IndexConfig | None = None, stop: DataFrame | None = None) -> Index:
+    """targeted() for what git says has changed, is staged or untracked; old itself where nothing has."""
+    paths = [r["path"] for r in records.changed_paths(spark, root).collect()]
+    return targeted(spark, old, root, paths, config, stop) if paths else old

@@ -26,21 +26,27 @@ def git(root: str, *args: str) -> str:
     return done.stdout
 
 
-def log(spark: SparkSession, root: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(commits, commit_files) of a repository, read once."""
+def log(spark: SparkSession, root: str, most: int | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(commits, commit_files) of a repository, or of one path through its renames; read once."""
     limit = ["-n", str(most)] if most else []
-    lines = git(root, "log", "--relative", "--name-status", "--format=\x01%H|%aI|%an|%s", *limit, "--", ".").split("\n")
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines) if x], "n int, line string")
-    return parse_log(rows)
+    own = ["--follow"] if path else []
+    lines = git(root, "log", *own, "--relative", "--name-status", "--format=\x01%H|%aI|%an|%s", *limit, "--", path or ".").split("\n")
+    rows, commit = [], -1
+    for i, x in enumerate(lines):
+        commit += x.startswith("\x01")
+        if x:
+            rows.append((commit, i, x))
+    return parse_log(spark.createDataFrame(rows, "commit int, n int, line string"))
 
 
 def parse_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(commits, commit_files) from log lines (n, line): heads begin with 0x01 and have four fields, parted by |."""
+    """(commits, commit_files) from log lines (commit, n, line): heads begin with 0x01 and have four fields, parted by |."""
     from pyspark.sql import Window
 
     head = F.col("line").startswith("\x01")
-    rows = lines.withColumn("commit", F.last(F.when(head, F.col("line")), ignorenulls=True).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.split(F.expr("substring(commit, 2)"), "[|]", 4)
+    own = Window.partitionBy("commit").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("head", F.last(F.when(head, F.col("line")), ignorenulls=True).over(own))
+    parts = F.split(F.expr("substring(head, 2)"), "[|]", 4)
     rows = rows.withColumns({"hash": parts[0], "ts": F.to_timestamp(parts[1]), "author": parts[2], "message": parts[3]})
     commits = rows.filter(head).select(F.substring("hash", 1, 8).alias("hash"), "ts", "author", "message")
     files = rows.filter(~head).select(F.substring("hash", 1, 8).alias("hash"), F.substring_index("line", "\t", -1).alias("path"), F.substring("line", 1, 1).alias("status"))
@@ -111,8 +117,19 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["annotations"]).json(path)
 
 
+def write_annotations(rows: DataFrame, folder: str) -> None:
+    """The annotations as one file of JSON lines, whole or not at all. They are as many as people have written."""
+    path = Path(folder)
+    path.mkdir(parents=True, exist_ok=True)
+    lines = [r["line"] for r in rows.orderBy("path").select(F.to_json(F.struct(*rows.columns)).alias("line")).collect()]
+    new = path / "annotations.json.tmp"
+    new.write_text("".join(x + "\n" for x in lines))
+    os.replace(new, path / "annotations.json")
+
+
 def pathless(rel: str, root: str) -> str | None:
     """A path relative to root; None for one outside."""
+    root = os.path.normpath(root)
     full = os.path.normpath(os.path.join(root, rel))
     return os.path.relpath(full, root) if full == root or full.startswith(root.rstrip("/") + "/") else None
 

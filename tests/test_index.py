@@ -4,6 +4,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.model import IndexConfig
 from lodestar.operators import change
 from lodestar.plans import index
 from lodestar.sources import parsers, records, trees
@@ -138,3 +139,52 @@ def test_gate(spark):
 
     assert {r["path"]: r["state"] for r in trees.gated(rows, IndexConfig()).collect()} == {"a.py": "full", "b.py": "binary", "c.png": "asset", "d.py": "oversize"}
     assert trees.file_entries(trees.gated(rows, IndexConfig())).filter(F.col("hash").startswith("skip:")).count() == 3
+
+
+def test_files_with_an_underscore_are_read(spark, tmp_path):
+    put(tmp_path, {"pkg/__init__.py": "def boot():\n    return 1\n", "pkg/_util.py": "def aid():\n    return 2\n", "pkg/a.py": "from pkg._util import aid\n\n\ndef go():\n    return aid()\n"})
+    ix = index.full(spark, str(tmp_path))
+    assert sorted(r["name"] for r in ix.symbols.collect()) == ["aid", "boot", "go"]
+    assert ix.files.filter("id is null or hash is null").count() == 0
+    names = {r["id"]: r["name"] for r in ix.symbols.collect()}
+    assert ("go", "aid") in {(names.get(r["source_id"]), names.get(r["target_id"])) for r in ix.relations.filter("kind = 'calls'").collect()}
+
+
+def test_nested_ignore_rules(tmp_path):
+    put(tmp_path, {
+        ".gitignore": "*.log\n/only.py\nbuild/\ndocs/*.txt\n**/gen/**\n!keep.log\n", "a.log": "x", "keep.log": "x", "only.py": "x", "sub/only.py": "x", "sub/build/x.py": "x", "sub/build.py": "x",
+        "docs/a.txt": "x", "docs/deep/b.txt": "x", "x/gen/y.py": "x", "sub/.gitignore": "!a.log\ntmp?.py\n", "sub/a.log": "x", "sub/tmp1.py": "x", "tmp1.py": "x", "lib/a.rs": "x", ".hidden/a.py": "x",
+    })
+    found = [p for p, _, _ in trees.scan_tree(tmp_path, IndexConfig(ignore=("lib",)))]
+    assert found == ["docs/deep/b.txt", "keep.log", "sub/a.log", "sub/build.py", "sub/only.py", "tmp1.py"]
+    assert [p for p, _, _ in trees.scan_tree(tmp_path, IndexConfig(ignore=()), depth=1, start="sub")] == ["sub/a.log", "sub/build.py", "sub/only.py"]
+    only = trees.scan_tree(tmp_path, IndexConfig(ignore=(), languages=("rust",)))
+    assert [p for p, _, _ in only] == ["docs/deep/b.txt", "keep.log", "lib/a.rs", "sub/a.log"]
+
+
+def test_full_equals_incremental_equals_targeted(spark, tmp_path):
+    root = tmp_path / "tree"
+    put(root, FILES)
+    first = index.full(spark, str(root)).write(str(tmp_path / "index"))
+    (root / "pkg/util.py").write_text(FILES["pkg/util.py"].replace("def helper", "def assist"))
+    (root / "lib.rs").unlink()
+    put(root, {"pkg/more.py": "from pkg.util import assist\n\n\ndef more():\n    return assist(2)\n", "skip/other.py": "y = 1\n"})
+    full, grown = index.full(spark, str(root)), index.incremental(spark, first, str(root))
+    aimed = index.targeted(spark, first, str(root), ["pkg/util.py", "lib.rs", str(root / "pkg/more.py"), "skip/other.py", "no/such.py"])
+    assert shown(full) == shown(grown) == shown(aimed)
+    with pytest.raises(ValueError, match="outside"):
+        index.targeted(spark, first, str(root), ["../elsewhere.py"])
+    again = aimed.write(str(tmp_path / "index"))
+    assert shown(index.load(spark, str(tmp_path / "index"))) == shown(again)
+    with pytest.raises(FileNotFoundError):
+        index.load(spark, str(tmp_path / "nothing"))
+
+
+def test_stop_names_by_language(spark):
+    from lodestar.functions import stopnames
+    from lodestar.operators import graph
+
+    calls = spark.createDataFrame([("a.py", "s", "append", True), ("a.py", "s", "unwrap", False), ("a.rs", "s", "unwrap", True), ("a.ts", "s", "forEach", True), ("a.unknown", "s", "unwrap", False), ("a.py", "s", "own", False)], "path string, caller_id string, callee string, is_method boolean")
+    left = graph.not_stopped(calls, stopnames.stop_table(spark)).collect()
+    assert {(r["path"], r["callee"]) for r in left} == {("a.py", "unwrap"), ("a.py", "own")}
+    assert stopnames.is_ubiquitous("len", "go") and not stopnames.is_ubiquitous("unwrap", "python") and stopnames.is_ubiquitous("unwrap")
