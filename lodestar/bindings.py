@@ -27,6 +27,37 @@ def brand_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("path")).agg(F.sum("p_size").alias("size")).select(F.col("path").alias("id"), "path", F.lit("rust").alias("language"), "size")
 
 
+def brand_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part: a brand imports, tests or configures another by each of its parts' numbers."""
+    other = F.concat(F.lit("Brand#"), (F.col("p_partkey") % 25 + 1).cast("string"))
+    kind = F.when(F.col("p_size") % 3 == 0, "imports").when(F.col("p_size") % 3 == 1, "test_for").otherwise("config_for")
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("source_id"), other.alias("target_id"), kind.alias("kind")).filter("source_id <> target_id").distinct()
+    return rows.withColumn("weight", F.lit(1.0).cast("float"))
+
+
+def project(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, symbols, relations): suppliers are files in seven folders, every fifth a test of the next; parts are their functions.
+
+    Each line item makes its part call another one.
+    """
+    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    path = F.concat(F.lit("m"), (F.col("k") % 7).cast("string"), F.when(F.col("k") % 5 == 0, "/test_s").otherwise("/s"), F.col("k").cast("string"), F.lit(".py"))
+    files = s.select(F.col("s_suppkey").alias("k")).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("id"), path.alias("path"), F.lit("python").alias("language"), F.lit(100).cast("long").alias("size"))
+    n_files, n_parts = s.count(), p.count()
+    own = p.withColumn("k", F.col("p_partkey") % n_files)
+    start = F.col("p_partkey") % 40 * 10 + 1
+    span = F.struct(start.cast("int").alias("start_line"), (start + F.col("p_size") % 9).cast("int").alias("end_line"), F.lit(0).alias("start_col"), F.lit(0).alias("end_col"))
+    symbols = own.select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("f"), F.col("k").cast("string")).alias("file_id"), F.col("p_name").alias("name"), F.lit("function").alias("kind"), path.alias("path"),
+        F.lit(None).cast("string").alias("signature"), span.alias("span"), F.lit(None).cast("string").alias("parent_symbol_id"), (F.col("p_size") > 25).alias("exported"), F.col("p_partkey").alias("ordinal"),
+    )
+    other = (F.col("l_partkey") * 7 + F.col("l_linenumber")) % n_parts
+    key = lambda c, kind="p": F.concat(F.lit(kind), c.cast("string"))
+    calls = table(spark, sf_dir, "lineitem").select(key(F.col("l_partkey")).alias("source_id"), key(other).alias("target_id")).filter("source_id <> target_id").distinct().withColumn("kind", F.lit("calls"))
+    tests = s.filter("s_suppkey % 5 = 0").select(key(F.col("s_suppkey"), "f").alias("source_id"), key((F.col("s_suppkey") + 1) % n_files, "f").alias("target_id"), F.lit("test_for").alias("kind"))
+    return files, symbols, calls.unionByName(tests).withColumn("weight", F.lit(1.0).cast("float"))
+
+
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: path source/lang/doc_id, language, size, hash of the text."""
     d = table(spark, sf_dir, "documents")

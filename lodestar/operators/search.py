@@ -21,29 +21,74 @@ def with_search_columns(symbols: DataFrame) -> DataFrame:
     })
 
 
+def strengths(q: Query, stems: Column | None) -> tuple[Column, list[Column]]:
+    """The phrase score of a question of several tokens, and each token's strength: over 0 in the name, under 0 in the rest."""
+    name, words = F.col("name_lower"), F.col("name_words")
+    phrase = C.phrase_score(q, name, F.col("sig_lower"))
+    out = []
+    for t in q.tokens:
+        own = C.name_strength(t, name, words, stems)
+        text = F.greatest(C.text_strength(t, F.col("sig_lower")), C.text_strength(t, F.col("path_lower")))
+        out.append(F.when(phrase > 0, 1.0).when(own > 0, own).otherwise(-text))
+    return phrase, out
+
+
+def rarity(used: list[Column], names: list[str]) -> list[Column]:
+    """The weight of each token, ln(1 + n / (1 + df)) over the symbols that match any, as aggregates."""
+    n = F.sum(F.when(C.any_of([s != 0 for s in used]), 1).otherwise(0))
+    return [F.log(1 + n / (1 + F.sum(F.when(s != 0, 1).otherwise(0)))).alias(name) for s, name in zip(used, names, strict=True)]
+
+
+def combined(q: Query, phrase: Column, used: list[Column], weights: list[Column]) -> Column:
+    """A symbol's score from its phrase score, or the strengths weighed by rarity."""
+    whole = sum(weights, F.lit(0.0))
+    ratio = sum((F.abs(s) * w for s, w in zip(used, weights, strict=True)), F.lit(0.0)) / whole
+    score = F.least(F.when(C.any_of([s > 0 for s in used]), ratio * 0.9 + C.name_bonus(q, F.col("name_lower"), F.col("name_words"))).otherwise(ratio * 0.6), F.lit(0.94))
+    return F.when(phrase > 0, phrase).otherwise(score)
+
+
 def multi_scored(symbols: DataFrame, q: Query) -> DataFrame:
     """symbols with `score` for a question of several tokens: phrase, or strengths weighed by rarity.
 
-    A token's weight is ln(1 + n / (1 + df)) over the symbols that match any token. The weights are one row of partial
-    sums, joined by broadcast: its size is the number of tokens.
+    The weights are one row of partial sums, joined by broadcast: its size is the number of tokens.
     """
-    name, words = F.col("name_lower"), F.col("name_words")
-    texts = [F.greatest(C.text_strength(t, F.col("sig_lower")), C.text_strength(t, F.col("path_lower"))) for t in q.tokens]
-    phrase = C.phrase_score(q, name, F.col("sig_lower"))
-    rows = symbols.withColumn("phrase", phrase)
-    for i, t in enumerate(q.tokens):
-        own = C.name_strength(t, name, words, F.col("name_word_stems") if "name_word_stems" in symbols.columns else None)
-        rows = rows.withColumn(f"s{i}", F.when(F.col("phrase") > 0, 1.0).when(own > 0, own).otherwise(-texts[i]))
-    used = [F.col(f"s{i}") for i in range(len(q.tokens))]
-    rows = rows.filter(C.any_of([s != 0 for s in used]))
-    n = F.count(F.lit(1))
-    weights = rows.agg(*[F.log(1 + n / (1 + F.sum(F.when(s != 0, 1).otherwise(0)))).alias(f"w{i}") for i, s in enumerate(used)])
-    whole = sum((F.col(f"w{i}") for i in range(len(used))), F.lit(0.0))
-    ratio = sum((F.abs(s) * F.col(f"w{i}") for i, s in enumerate(used)), F.lit(0.0)) / whole
-    in_name = C.any_of([s > 0 for s in used])
-    score = F.least(F.when(in_name, ratio * 0.9 + C.name_bonus(q, name, words)).otherwise(ratio * 0.6), F.lit(0.94))
-    scored = rows.crossJoin(F.broadcast(weights)).withColumn("score", F.when(F.col("phrase") > 0, F.col("phrase")).otherwise(score))
-    return scored.drop("phrase", *[f"s{i}" for i in range(len(used))], *[f"w{i}" for i in range(len(used))])
+    phrase, own = strengths(q, F.col("name_word_stems") if "name_word_stems" in symbols.columns else None)
+    s, w = [f"s{i}" for i in range(len(own))], [f"w{i}" for i in range(len(own))]
+    rows = symbols.withColumns({"phrase": phrase} | dict(zip(s, own, strict=True)))
+    used = [F.col(c) for c in s]
+    rows = rows.filter(C.any_of([c != 0 for c in used]))
+    scored = rows.crossJoin(F.broadcast(rows.agg(*rarity(used, w)))).withColumn("score", combined(q, F.col("phrase"), used, [F.col(c) for c in w]))
+    return scored.drop("phrase", *s, *w)
+
+
+#: Questions whose scores one plan makes at once.
+BATCH = 40
+
+
+def batch(symbols: DataFrame, texts: list[str], k: int) -> DataFrame:
+    """(question, id, score, place): find_symbol() for many questions in two scans for each BATCH of them.
+
+    The first scan sums the rarity of all tokens into one row; the second scores every question at each symbol, so that
+    the table is read once however many questions there are, and keeps k rows a question in each task.
+    """
+    out = None
+    stems = F.col("name_word_stems") if "name_word_stems" in symbols.columns else None
+    for start in range(0, len(texts), BATCH):
+        asked = list(enumerate(map(expand, texts[start : start + BATCH])))
+        several = [(i, q, *strengths(q, stems)) for i, q in asked if len(q.tokens) > 1]
+        held = symbols
+        if several:
+            sums = [c for i, _, _, own in several for c in rarity(own, [f"w{i}_{j}" for j in range(len(own))])]
+            held = symbols.crossJoin(F.broadcast(symbols.agg(*sums)))
+        scores = {i: C.single_score(q.tokens[0], F.col("name_lower"), F.col("name_words")) for i, q in asked if len(q.tokens) == 1}
+        scores |= {i: F.when(C.any_of([s != 0 for s in own]), combined(q, phrase, own, [F.col(f"w{i}_{j}") for j in range(len(own))])).otherwise(0.0) for i, q, phrase, own in several}
+        whole = lambda q, s: F.when(F.col("name") == q.text, 1.01).when(F.col("name_lower") == q.text.lower(), 1.0).otherwise(s)
+        all_ = F.array(*[F.struct(F.lit(start + i).alias("n"), whole(q, scores.get(i, F.lit(0.0))).cast("double").alias("score")) for i, q in asked])
+        rows = held.select("id", "ordinal", F.explode(F.filter(all_, lambda x: x["score"] > 0)).alias("s")).select(F.col("s.n").alias("n"), "id", "ordinal", "s.score")
+        out = rows if out is None else out.unionByName(rows)
+    place = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "ordinal"))
+    names = F.element_at(F.array(*map(F.lit, texts)), F.col("n") + 1)
+    return out.withColumn("place", place).filter(F.col("place") <= k).select(names.alias("question"), "id", "score", "place")
 
 
 def scored(symbols: DataFrame, q: Query) -> DataFrame:

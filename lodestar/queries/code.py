@@ -153,10 +153,10 @@ def churn_counts(spark: SparkSession, d: str) -> DataFrame:
     return history.commit_counts(B.commit_files(spark, d))
 
 
-@query("""WITH c AS (SELECT l_suppkey AS path, count(DISTINCT l_orderkey) AS churn FROM lineitem WHERE l_quantity > 45 GROUP BY 1), m AS (SELECT CAST(sum(churn) AS BIGINT) // count(*) AS mean FROM c)
+@query("""WITH c AS (SELECT l_suppkey AS path, count(DISTINCT l_orderkey) AS churn FROM lineitem GROUP BY 1), m AS (SELECT CAST(sum(churn) AS BIGINT) // count(*) AS mean FROM c)
 SELECT path, churn, mean FROM c, m WHERE churn > mean""")
 def high_churn(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").alias("path"), F.col("l_orderkey").alias("hash"))
+    rows = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("path"), F.col("l_orderkey").alias("hash"))
     return history.high_churn(history.commit_counts(rows), 1)
 
 
@@ -182,12 +182,15 @@ def missing_co_changes(spark: SparkSession, d: str) -> DataFrame:
     return history.missing_co_changes(files, changed, least_confidence=0.03)
 
 
-@query("""WITH e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS t FROM lineitem), i AS (SELECT t AS path, count(*) AS fan_in FROM e GROUP BY t), o AS (SELECT s AS path, count(*) AS fan_out FROM e GROUP BY s)
-SELECT path, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, CAST(0 AS BIGINT) AS co_change_count, round(coalesce(fan_in, 0) * 0.4::DOUBLE + coalesce(fan_out, 0) * 0.3::DOUBLE, 6) AS risk_score FROM i FULL JOIN o USING (path)""")
+@query("""WITH e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS t FROM lineitem), i AS (SELECT t AS path, count(*) AS fan_in FROM e GROUP BY t), o AS (SELECT s AS path, count(*) AS fan_out FROM e GROUP BY s),
+f AS (SELECT DISTINCT l_orderkey AS h, 'p' || l_partkey AS p FROM lineitem), m AS (SELECT h FROM f GROUP BY h HAVING count(*) <= 50), q AS (SELECT f.* FROM f JOIN m USING (h)),
+k AS (SELECT x.p AS a, y.p AS b FROM q x JOIN q y ON x.h = y.h AND x.p < y.p GROUP BY 1, 2 HAVING count(*) >= 2), n AS (SELECT path, count(*) AS co FROM (SELECT a AS path FROM k UNION ALL SELECT b FROM k) GROUP BY path)
+SELECT path, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(co, 0) AS co_change_count, round(coalesce(fan_in, 0) * 0.4::DOUBLE + coalesce(fan_out, 0) * 0.3::DOUBLE + coalesce(co, 0) * 0.3::DOUBLE, 6) AS risk_score FROM i FULL JOIN o USING (path) LEFT JOIN n USING (path)""")
 def coupling(spark: SparkSession, d: str) -> DataFrame:
     e = B.calls(spark, d).select(F.concat(F.lit("s"), "source_id").alias("source"), F.concat(F.lit("p"), "target_id").alias("target"))
-    none = spark.createDataFrame([], "path string, partners long")
-    return graph.coupling(e, none)
+    commits = B.commit_files(spark, d).withColumn("path", F.concat(F.lit("p"), "path"))
+    together = history.partners(history.co_change_pairs(commits)).groupBy("path").agg(F.count(F.lit(1)).alias("partners"))
+    return graph.coupling(e, together)
 
 
 @query("SELECT DISTINCT s_suppkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE lower(p_name) = 'hot gear'")
@@ -239,11 +242,12 @@ def affected_multi_seed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT DISTINCT p_brand, lower(p_name) AS w FROM part), t AS (SELECT w FROM n WHERE p_brand = 'Brand#3'), k AS (SELECT count(*) AS k FROM t),
 s AS (SELECT p_brand, count(*) AS shared FROM n WHERE w IN (SELECT w FROM t) GROUP BY 1), f AS (SELECT DISTINCT p_brand FROM part),
-v AS (SELECT f.p_brand AS path, least(coalesce(shared, 0)::DOUBLE / greatest(k, 1), 1.0) * 0.3 + CASE WHEN contains(lower(f.p_brand), 'brand#3') OR contains('brand#3', lower(f.p_brand)) THEN 0.1 ELSE 0 END + 0.05 AS score FROM f LEFT JOIN s ON s.p_brand = f.p_brand, k WHERE f.p_brand <> 'Brand#3')
+r AS (SELECT DISTINCT p_brand AS a, 'Brand#' || (p_partkey % 25 + 1) AS b, CASE p_size % 3 WHEN 0 THEN 'imports' WHEN 1 THEN 'test_for' ELSE 'config_for' END AS kind FROM part WHERE p_brand <> 'Brand#' || (p_partkey % 25 + 1)),
+g AS (SELECT brand, sum(w) AS edges FROM (SELECT b AS brand, CASE kind WHEN 'imports' THEN 0.7 WHEN 'test_for' THEN 0.8 ELSE 0.4 END AS w FROM r WHERE a = 'Brand#3' UNION ALL SELECT a, CASE kind WHEN 'imports' THEN 0.6 WHEN 'test_for' THEN 0.8 ELSE 0.4 END FROM r WHERE b = 'Brand#3') GROUP BY brand),
+v AS (SELECT f.p_brand AS path, coalesce(edges, 0)::DOUBLE + least(coalesce(shared, 0)::DOUBLE / greatest(k, 1), 1.0) * 0.3 + CASE WHEN contains(lower(f.p_brand), 'brand#3') OR contains('brand#3', lower(f.p_brand)) THEN 0.1 ELSE 0 END + 0.05 AS score FROM f LEFT JOIN s ON s.p_brand = f.p_brand LEFT JOIN g ON g.brand = f.p_brand, k WHERE f.p_brand <> 'Brand#3')
 SELECT path, round(score, 6) AS score FROM v WHERE round(score, 6) > 0.05 ORDER BY round(score, 6) DESC, path LIMIT 12""")
 def related_entities(spark: SparkSession, d: str) -> DataFrame:
-    none = spark.createDataFrame([], "source_id string, target_id string, kind string, weight float")
-    return search.find_related(B.brand_files(spark, d), B.symbols(spark, d), none, "Brand#3", 12)
+    return search.find_related(B.brand_files(spark, d), B.symbols(spark, d), B.brand_relations(spark, d), "Brand#3", 12)
 
 
 HUNKS = "SELECT l_orderkey AS path, min(l_linenumber) AS h_start, max(l_linenumber) AS h_end FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1"
@@ -257,11 +261,11 @@ def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     return change.overlapping(spans, hunks).select("path", "id").distinct()
 
 
-@query("""WITH s AS (SELECT l_suppkey AS path, l_orderkey AS id, CAST(epoch(min(l_shipdate)) // 86400 AS BIGINT) AS a, CAST(epoch(max(l_shipdate)) // 86400 + 30 AS BIGINT) AS b FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1, 2),
-p AS (SELECT DISTINCT l_suppkey AS path, CAST(epoch(l_shipdate) // 86400 AS BIGINT) AS line FROM lineitem WHERE l_suppkey <= 20 AND l_quantity > 40),
+@query("""WITH s AS (SELECT l_suppkey AS path, l_orderkey AS id, CAST(epoch(min(l_shipdate)) // 86400 AS BIGINT) AS a, CAST(epoch(max(l_shipdate)) // 86400 + 30 AS BIGINT) AS b FROM lineitem GROUP BY 1, 2),
+p AS (SELECT DISTINCT l_suppkey AS path, CAST(epoch(l_shipdate) // 86400 AS BIGINT) AS line FROM lineitem WHERE l_quantity > 40),
 k AS (SELECT p.path, line, id, row_number() OVER (PARTITION BY p.path, line ORDER BY b - a, a DESC, id) AS place FROM p JOIN s ON p.path = s.path AND a <= line AND b >= line) SELECT path, line, id FROM k WHERE place = 1""")
 def innermost_span(spark: SparkSession, d: str) -> DataFrame:
-    li = B.table(spark, d, "lineitem").filter("l_suppkey <= 20").withColumn("day", F.unix_date(F.to_date("l_shipdate")).cast("long"))
+    li = B.table(spark, d, "lineitem").withColumn("day", F.unix_date(F.to_date("l_shipdate")).cast("long"))
     spans = li.groupBy(F.col("l_suppkey").alias("path"), F.col("l_orderkey").alias("id")).agg(F.min("day").alias("start"), (F.max("day") + 30).alias("end"))
     points = li.filter("l_quantity > 40").select(F.col("l_suppkey").alias("path"), F.col("day").alias("line")).distinct()
     return change.innermost(spans, points).select("path", "line", "id")

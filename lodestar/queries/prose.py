@@ -209,8 +209,7 @@ def diverse_selection(spark: SparkSession, d: str) -> DataFrame:
 def ask_packet(spark: SparkSession, d: str) -> DataFrame:
     v = B.vectors(spark, d)
     hits = vectors.top_k(v, v.filter("id = 7").first()["embedding"], 20, 0.2).join(v.select("id", "path"), "id")
-    none = spark.createDataFrame([], "source_id string, target_id string, kind string, weight float")
-    return plans.ask(B.symbols(spark, d), B.brand_files(spark, d), none, "where is the small gear ring", "full", hits=hits)
+    return plans.ask(B.symbols(spark, d), B.brand_files(spark, d), B.brand_relations(spark, d), "where is the small gear ring", "full", hits=hits)
 
 
 @query()
@@ -281,14 +280,14 @@ def vector_stale(spark: SparkSession, d: str) -> DataFrame:
     return todo.agg(F.count(F.lit(1)).alias("todo"))
 
 
-@query(f"WITH e AS ({ENTRIES}), t AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(content), '[^\\pL\\pN_]+')) AS term FROM e) SELECT term, count(*) AS entries FROM t WHERE strlen(term) >= 3 AND term NOT IN ({STOPS}) GROUP BY term HAVING count(*) >= 10")
+@query(f"WITH e AS ({ENTRIES}), t AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(content), '[^\\pL\\pN_]+')) AS term FROM e) SELECT term, count(*) AS entries FROM t WHERE strlen(term) >= 3 AND term NOT IN ({STOPS}) GROUP BY term")
 def memory_postings(spark: SparkSession, d: str) -> DataFrame:
-    return memory.postings(B.project_memory(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("entries")).filter("entries >= 10")
+    return memory.postings(B.project_memory(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("entries"))
 
 
-@query("SELECT 'src' || (doc_id % 4) AS id, CAST(sum(DISTINCT n_chars * 100000 + doc_id) // 100000 AS BIGINT) AS raw_bytes FROM documents WHERE doc_id < 40 GROUP BY 1")
+@query("SELECT 'src' || (doc_id // 40) AS id, CAST(sum(n_chars) AS BIGINT) AS raw_bytes FROM documents GROUP BY 1")
 def raw_baseline(spark: SparkSession, d: str) -> DataFrame:
-    docs = B.table(spark, d, "documents").filter("doc_id < 40").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.concat(F.lit("src"), (F.col("doc_id") % 4).cast("string")).alias("id"))
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.concat(F.lit("src"), F.expr("doc_id div 40").cast("string")).alias("id"))
     results = docs.groupBy("id").agg(F.to_json(F.array_union(F.collect_list(F.struct("path")), F.collect_list(F.struct("path")))).alias("json"))
     return reports.raw_baseline(results, docs.select("path", "size"))
 

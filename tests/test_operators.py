@@ -159,3 +159,29 @@ def test_usage_and_scores(spark):
     assert got == {"a": (2, 10, 10.0), "b": (1, 7, None), None: (3, 17, round(100 / 17, 6))}
     case = spark.createDataFrame([("c", 1, 2, 0, 0, 0, 2, True, False)], "id string, must_include_found int, must_include_total int, should_include_found int, should_include_total int, irrelevant_found int, selected_files int, files_within_limit boolean, bytes_within_limit boolean")
     assert reports.case_scores(case).first()["score"] == 25 + 15 + 10 - 2
+
+
+def test_batch_search_equals_single_searches(spark, sf_dir):
+    from lodestar import bindings
+    from lodestar.operators import search
+
+    symbols = bindings.symbols(spark, sf_dir).cache()
+    texts = ["gear", "small gear ring", "Red Bolt", "rdot", "nothing_like_it", "blue bolt"]
+    got = search.batch(symbols, texts, 7).collect()
+    for t in texts:
+        want = [(r["id"], round(r["score"], 9)) for r in search.find_symbol(symbols, t, 7).collect()]
+        mine = sorted(((r["place"], r["id"], round(r["score"], 9)) for r in got if r["question"] == t))
+        assert [x[1:] for x in mine] == want
+
+
+def test_vector_batches_in_blocks(spark, sf_dir, monkeypatch):
+    from lodestar import bindings
+    from lodestar.operators import vectors
+
+    v = bindings.vectors(spark, sf_dir)
+    asked = v.filter("id < 25").selectExpr("id as query", "embedding as q")
+    asked = asked.unionByName(asked.filter("query = 3").selectExpr("cast(null as long) as query", "q"))
+    whole = vectors.top_k_batch(v, asked, 4).collect()
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 60)
+    assert sorted(map(tuple, vectors.top_k_batch(v, asked, 4).collect()), key=repr) == sorted(map(tuple, whole), key=repr) and len(whole) == 26 * 4
