@@ -141,6 +141,10 @@ def test_whole_tokens_are_proved():
     pieces = [p for p in sorted(c.whole) if p not in (token_counts.MARK, "\n")]
     for p in rnd.sample(pieces, 300):
         assert len(c.model.encode(p[1:] if p[0] == token_counts.MARK else "\n" + p)) == (1 if p[0] == token_counts.MARK else 3)
+    path, table = token_counts.model_path(), token_counts.proof(token_counts.model_path())
+    assert table == (token_counts.digest(path), c.proved) and token_counts.Counting(path, table[1]).counts(["a b c\n d"]) == c.counts(["a b c\n d"])
+    token_counts._COUNTING.clear()
+    assert token_counts.counting(path, ("another file", None)).whole == c.whole
     c.whole = None
     assert c.counts(["a b", ""]) == [len(c.model.encode("a b")), 0]
 
@@ -367,8 +371,9 @@ def test_near_duplicate_edges(spark):
     assert seen == Counter([(5, 5, True), (None, None, True), (4, 4, True), (4, 4, True), (3, 3, True), (2, 2, True), (9, 9, True), (9, 9, True)])
     assert near_dup.near_duplicates(docs(spark, []).limit(0)).count() == 0
     texts = ["one two three four five six", "One two three four five six", "other words are standing here now", None]
-    kept = near_dup.one_of_each(docs(spark, texts))
-    assert kept.columns == docs(spark, []).columns and {r["doc_id"] for r in kept.collect()} == {0, 2, 3}
+    given = docs(spark, texts).withColumn("gone_id", F.lit(0))
+    kept = near_dup.one_of_each(given)
+    assert kept.columns == given.columns and {r["doc_id"] for r in kept.collect()} == {0, 2, 3}
 
 
 # 9 substring dedup
@@ -639,6 +644,65 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert pii.pseudonymise(docs(spark, []).limit(0), "k").count() == 0
 
 
+def brute_feistel(a, b, sizes, key, kind):
+    for r in range(8):
+        half = b if r % 2 == 0 else a
+        move = int(hashlib.sha256(f"{key}|{kind}|{r}|{half}".encode()).hexdigest()[:15], 16)
+        a, b = ((a + move) % sizes[0], b) if r % 2 == 0 else (a, (b + move) % sizes[1])
+    return a, b
+
+
+def brute_digits(d, key, kind):
+    half = len(d) // 2
+    a, b = brute_feistel(int(d[:half]), int(d[half:]), (10**half, 10 ** (len(d) - half)), key, kind)
+    return f"{a:0{half}d}{b:0{len(d) - half}d}"
+
+
+def in_form(form, digits):
+    left = iter(digits)
+    return "".join(next(left) if c.isdigit() else c for c in form)
+
+
+def brute_pseudonym(kind, v, key):
+    d = re.sub("[^0-9]", "", v)
+    if kind == "card":
+        body = brute_digits(d[:-1], key, kind)
+        return in_form(v, body + next(str(c) for c in range(10) if luhn(body + str(c))))
+    if kind == "phone":
+        return in_form(v, d[:-10] + brute_digits(d[-10:], key, kind))
+    if kind == "ip":
+        o = list(map(int, v.split(".")))
+        a, b = brute_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), key, kind)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "ssn":
+        area, group, serial = map(int, v.split("-"))
+        areas = [x for x in range(1, 900) if x != 666]
+        a, b = brute_feistel(areas.index(area), (group - 1) * 9999 + serial - 1, (898, 99 * 9999), key, kind)
+        return f"{areas[a]:03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    p = re.split("[-./]", v)
+    day = date(*map(int, p)) if "-" in v else date(int(p[2]), int(p[1]), int(p[0]))
+    n = (day - date(1900, 1, 1)).days
+    start = n // 73000 * 73000
+    a, b = brute_feistel((n - start) // 292, (n - start) % 292, (250, 292), key, kind)
+    new = date.fromordinal(date(1900, 1, 1).toordinal() + start + a * 292 + b)
+    return new.isoformat() if "-" in v else new.strftime(f"%d{v[2]}%m{v[2]}") + f"{new.year:04d}"
+
+
+def test_pseudonyms_equal_a_plain_feistel(spark):
+    rnd = random.Random(1)
+    def valid():
+        body = "".join(rnd.choice("0123456789") for _ in range(rnd.randint(12, 18)))
+        return body + next(str(c) for c in range(10) if luhn(body + str(c)))
+    values = [("card", valid()) for _ in range(20)] + [("ip", ".".join(str(rnd.randint(0, 255)) for _ in range(4))) for _ in range(20)]
+    values += [("ssn", f"{rnd.choice([1, 665, 667, 899, rnd.randint(1, 600)]):03d}-{rnd.randint(1, 99):02d}-{rnd.randint(1, 9999):04d}") for _ in range(20)] + [("phone", f"+{rnd.randint(1, 99)} ({rnd.randint(100, 999)}) {rnd.randint(100, 999)}-{rnd.randint(0, 9999):04d}") for _ in range(20)]
+    values += [("date", date.fromordinal(rnd.randint(date(1850, 1, 1).toordinal(), date(2098, 1, 1).toordinal())).strftime(rnd.choice(["%Y-%m-%d", "%d.%m.%Y"]))) for _ in range(20)] + [("date", "25/12/2001")]
+    done = pii.pseudonymise(docs(spark, [v for _, v in values]).withColumn("pii", F.lit("mine")), "a secret")
+    assert {"pii", "_pii"} <= set(done.columns) and "a secret" not in done._jdf.queryExecution().toString()
+    got = collected(done, "doc_id")
+    assert [got[i]["text"] for i in range(len(values))] == [brute_pseudonym(k, v, "a secret") for k, v in values]
+    assert all(got[i]["_pii"] == {k: 1} and got[i]["pii"] == "mine" for i, (k, _) in enumerate(values))
+
+
 def test_card_numbers_beside_other_digits(spark):
     card, spaced = "4111111111111111", "4111 1111 1111 1111"
     texts = [f"{card} 123 now", f"{spaced} 12/27", f"{card} 4.0.", f"exp 2027 {spaced}", f"12345 {spaced} 99 {card}", f"{card} 10.0.0.255", f"{card}1 {spaced}"]
