@@ -214,6 +214,38 @@ def block_tasks(outside: DataFrame, members: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
+def narrowed(tasks: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """The rows of block_tasks() whose sketches leave room for a link with a document of another component on the task's other side.
+
+    sketched: (rep, comp, n, sketch). What comes out are documents, not pairs, and only their texts are read to confirm links.
+    """
+    kind = tasks.schema["id"].dataType.simpleString()
+    held = tasks.join(sketched.withColumnRenamed("rep", "id"), "id").select("task", "left", "id", F.xxhash64("comp").alias("comp"), "n", "sketch")
+
+    def run(table: pa.Table) -> pa.Table:
+        left = np.array(table["left"].to_pylist(), bool)
+        own = [np.frombuffer(b, np.uint64) for b in table["sketch"].to_pylist()]
+        comp, n, size = table["comp"].to_numpy(), table["n"].to_numpy(), np.array([len(v) for v in own])
+        lefts, rights = np.flatnonzero(left), np.flatnonzero(~left)
+        wanted = np.zeros(len(own), bool)
+        if len(rights):
+            values, owner = np.concatenate([own[i] for i in rights]), np.repeat(np.arange(len(rights)), size[rights])
+            share = percent / 100
+            for i in lefts:
+                if not len(own[i]):
+                    continue
+                at = np.minimum(np.searchsorted(own[i], values), len(own[i]) - 1)
+                shared = np.bincount(owner[own[i][at] == values], minlength=len(rights))
+                union = np.minimum(size[i] + size[rights] - shared, K)  # of a union's sketch, no more than these can be shared
+                good = shared >= union * share - SLACK * np.sqrt(np.maximum(union, 1) * share * (1 - share))
+                good &= (comp[rights] != comp[i]) & (100 * np.minimum(n[rights], n[i]) >= percent * np.maximum(n[rights], n[i]))
+                wanted[rights[good]] = True
+                wanted[i] = good.any()
+        return table.filter(pa.array(wanted)).select(["id", "task", "left"])
+
+    return held.groupBy("task").applyInArrow(run, f"id {kind}, task string, left boolean").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(rep, comp): for each document with a link, the smallest one reachable. Labels spread and jump until none changes.
 
@@ -308,10 +340,11 @@ def linked(df: DataFrame, row_id: str, text: str, shingle: int, percent: int) ->
     outside = runs.join(largest.select("key", F.col("top.comp").alias("main")), "key").filter("comp <> main").select("rep", F.col("main").alias("comp")).distinct()
     outside = saved(outside.coalesce(files), "outside")
     release(df.sparkSession)
-    members = with_components(reps.select("rep"), labels)
-    tasks = pair_tasks(pairs).unionByName(block_tasks(outside, members))
+    members = saved(with_components(reps.select("rep", "n", "sketch"), labels).coalesce(files), "members")
+    tasks = narrowed(block_tasks(outside, members), members, percent)
+    tasks = pair_tasks(pairs).unionByName(tasks)
     more = saved(confirmed(tasks, texts, shingle, percent).coalesce(files), "more-links")
-    forget(lists, runs, largest, pairs, outside)
+    forget(lists, runs, largest, pairs, outside, members)
     release(df.sparkSession)
     if more.head(1):
         labels = components(edges.unionByName(more))
