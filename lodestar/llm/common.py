@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -101,6 +101,22 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def running(df: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
+    """df with c_before and c_total for each of sums: what rows in front of it (in this order) have, and all rows.
+
+    Rows are dealt by ranges of the order and written; then a range's sums are the only rows that come together, and a
+    running sum stays within a range. The order must tell all rows apart.
+    """
+    taken = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = taken.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])  # a row for each task
+    front = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_{c}").over(front), F.lit(0)).alias(f"{c}_base") for c in sums], *[F.sum(f"_{c}").over(Window.partitionBy()).alias(f"{c}_total") for c in sums])
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = taken.join(F.broadcast(parts), "_part")
+    rows = rows.withColumns({f"{c}_before": F.col(f"{c}_base") + F.coalesce(F.sum(c).over(own), F.lit(0)) for c in sums})
+    return rows.drop("_part", *[f"{c}_base" for c in sums])
+
+
 def word_count(c: Column) -> Column:
     """Words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")

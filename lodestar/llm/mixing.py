@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, word_count
+from .common import running, saved, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Each weight's schedule: rates at evenly spaced times from 0 to 1, linear in between, of any scale: steady, rising, falling.
@@ -37,16 +37,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     by weight until none is above. That is a level: target = least(most * size, weight * level). In the order of
     size / weight, the level is what is left over the weights that are left at the first source under its limit.
     """
-    place = F.pmod(F.row_number().over(Window.orderBy("key")) - 1, F.lit(len(weights))).cast("int")
-    rows = sizes.select("key", "source_size", place.alias("schedule"), (F.col("source_size") * float(most)).alias("most"))
-    rows = rows.withColumn("weight", F.get(F.array(*map(F.lit, map(float, weights))), F.col("schedule")))
-    order = Window.orderBy(F.col("most") / F.col("weight"), "key")
-    before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    whole = F.sum("source_size").over(Window.partitionBy()) * share
-    rows = rows.withColumn("level", (whole - before) / after).withColumn("place", F.row_number().over(order))
-    under = F.min(F.when(F.col("most") > F.col("weight") * F.col("level"), F.struct("place", "level"))).over(Window.partitionBy())
-    rows = rows.withColumn("at", under["level"])
+    ranked = running(sizes.select("key", "source_size", F.lit(1).cast("long").alias("one")), ["key"], ["one", "source_size"])
+    place = F.pmod(F.col("one_before"), F.lit(len(weights))).cast("int")
+    rows = ranked.select("key", "source_size", F.col("source_size_total").alias("whole"), place.alias("schedule"), (F.col("source_size") * float(most)).alias("most"))
+    rows = rows.withColumn("weight", F.get(F.array(*map(F.lit, map(float, weights))), F.col("schedule"))).withColumn("ratio", F.col("most") / F.col("weight"))
+    rows = running(rows, ["ratio", "key"], ["most", "weight"])
+    rows = rows.withColumn("level", (F.col("whole") * share - F.col("most_before")) / (F.col("weight_total") - F.col("weight_before")))
+    first = rows.filter(F.col("most") > F.col("weight") * F.col("level")).agg(F.min(F.struct("ratio", "key", "level")).alias("first"))  # one row
+    rows = rows.crossJoin(F.broadcast(first)).withColumn("at", F.col("first.level"))
     return rows.select("key", "source_size", "weight", "schedule", F.round(F.coalesce(F.least("most", F.col("weight") * F.col("at")), F.col("most")), 6).alias("target"))
 
 

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, saved
+from .common import free_name, running, saved
 
 BITS = 5
 SHARDS = 24
@@ -72,14 +72,11 @@ def hilbert(dimensions: list[Column], bits: int = BITS) -> Column:
 def category_codes(df: DataFrame, column: str, bits: int = BITS) -> DataFrame:
     """(key, code): each distinct value of a string column and its equi-depth code, in value order, nulls last.
 
-    The window runs over distinct values and their counts, not over rows.
+    Values may be many (hosts, say): their counts are summed by ranges, not in one task.
     """
     key = category_key(F.col(f"`{column}`"))
-    counts = df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("key")
-    total = F.sum("n").over(Window.partitionBy())
-    before = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("key", F.floor(F.coalesce(before, F.lit(0)) * (1 << bits) / total).cast("int").alias("code"))
+    counts = running(df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")), ["key"], ["n"])
+    return counts.select("key", F.floor(F.col("n_before") * (1 << bits) / F.col("n_total")).cast("int").alias("code"))
 
 
 def category_key(c: Column) -> Column:
