@@ -4,6 +4,10 @@ Documents are dealt into chunks of some megabytes by a hash. A chunk sends its d
 for each value bucket; a bucket finds the values that more than one chunk has, or one chunk twice; each chunk gets its
 own repeated values back. So a value is sent once a chunk, however often it occurs there, rows are few and large, and
 both chunk and bucket are bounded by the counts chosen from the corpus size.
+
+As chunks and buckets both grow with the corpus, their rows would shrink to single values beyond some hundred GB. From
+where a row would hold under ROW_VALUES values, they go in two rounds: chunks send to few coarse buckets, tasks of GROUP
+chunks each merge these and send on to the buckets, and answers come back the same way. The result is the same.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ CHUNK_BYTES = 4 << 20
 #: Values a bucket gets, about; and the least number of chunks and of buckets, so that small inputs spread as well.
 BUCKET_VALUES = 1 << 21
 LEAST = 64
+#: Values that a row from a chunk to a bucket holds at least, about, or else chunks are merged first; and how many at once.
+ROW_VALUES = 64
+GROUP = 256
 
 NARROW, WIDE = np.uint32, np.uint64
 REPEATED, MARKED = 1, 2
@@ -28,12 +35,19 @@ REST = np.uint64((1 << 30) - 1)
 
 
 class Plan:
-    """How many chunks and buckets a corpus gets."""
+    """How many chunks and buckets a corpus gets; coarse: how many buckets the first of two rounds has, 0 for one round."""
 
     def __init__(self, df: DataFrame, text: str):
         size = text_bytes(df, text)
         self.chunks = max(LEAST, -(-size // CHUNK_BYTES))
         self.buckets = max(LEAST, -(-size // (6 * BUCKET_VALUES)))
+        self.group = GROUP
+        short = CHUNK_BYTES // 6 < ROW_VALUES * self.buckets
+        self.coarse = min(self.buckets, max(1, GROUP * CHUNK_BYTES // 6 // BUCKET_VALUES)) if short else 0
+
+    def fine(self, g: np.ndarray, kind: type) -> np.ndarray:
+        """The bucket of each key."""
+        return (g % np.uint64(self.buckets) if kind is WIDE else g >> np.uint64(30)).astype(np.int64)
 
 
 def chunked(df: DataFrame, plan: Plan, row_id: str, text: str) -> DataFrame:
@@ -48,17 +62,33 @@ def words_of(table: pa.Table) -> Words:
     return Words(binary(table["text"]).to_pylist())
 
 
-def keys(h: np.ndarray, buckets: int, kind: type) -> np.ndarray:
+def keys(h: np.ndarray, plan: Plan, kind: type) -> np.ndarray:
     """What a value is known by: all but two of its bits, or for NARROW its bucket and 30 more bits."""
-    g = h >> np.uint64(2)
-    return g if kind is WIDE else ((g % np.uint64(buckets)) << np.uint64(30)) | ((g // np.uint64(buckets)) & REST)
+    g, buckets = h >> np.uint64(2), np.uint64(plan.buckets)
+    return g if kind is WIDE else ((g % buckets) << np.uint64(30)) | ((g // buckets) & REST)
+
+
+def cut(bucket: np.ndarray, values: np.ndarray) -> list[tuple[int, bytes]]:
+    """(bucket, values) for each run of equal buckets."""
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    ends = np.concatenate((cuts[1:], [len(bucket)]))
+    return [(int(bucket[a]), values[a:b].tobytes()) for a, b in zip(cuts, ends, strict=True)]
+
+
+def by_bucket(own: np.ndarray, flags: np.ndarray, plan: Plan, kind: type) -> list[tuple[int, bytes]]:
+    """Distinct keys with their two flag bits, by bucket."""
+    bucket = plan.fine(own, kind)
+    by = np.argsort(bucket, kind="stable")
+    own, flags, bucket = own[by], flags[by], bucket[by]
+    own = own if kind is WIDE else own & REST
+    return cut(bucket, ((own << np.uint64(2)) | flags).astype(kind))
 
 
-def packed(h: np.ndarray, marks: np.ndarray | None, buckets: int, kind: type) -> list[tuple[int, bytes]]:
-    """(bucket, distinct values with two flag bits) of a chunk's values."""
+def packed(h: np.ndarray, marks: np.ndarray | None, plan: Plan, kind: type) -> list[tuple[int, bytes]]:
+    """(bucket, distinct values with two flag bits) of a chunk's values; coarse buckets and whole keys where there are two rounds."""
     if not len(h):
         return []
-    own = keys(h, buckets, kind)
+    own = keys(h, plan, kind)
     order = np.argsort(own, kind="stable")
     own = own[order]
     starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
@@ -66,17 +96,11 @@ def packed(h: np.ndarray, marks: np.ndarray | None, buckets: int, kind: type) ->
     if marks is not None:
         flags |= np.logical_or.reduceat(marks[order], starts).astype(np.uint64) * np.uint64(MARKED)
     own = own[starts]
-    if kind is WIDE:
-        bucket = (own % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        own, flags, bucket = own[by], flags[by], bucket[by]
-        values = (own << np.uint64(2)) | flags
-    else:
-        bucket = (own >> np.uint64(30)).astype(np.int64)
-        values = (((own & REST) << np.uint64(2)) | flags).astype(np.uint32)
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    ends = np.concatenate((cuts[1:], [len(bucket)]))
-    return [(int(bucket[a]), values[a:b].tobytes()) for a, b in zip(cuts, ends, strict=True)]
+    if not plan.coarse:
+        return by_bucket(own, flags, plan, kind)
+    bucket = plan.fine(own, kind) % plan.coarse
+    by = np.argsort(bucket, kind="stable")
+    return cut(bucket[by], ((own << np.uint64(2)) | flags)[by])
 
 
 SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("values", pa.binary())])
@@ -86,8 +110,43 @@ def sent(chunk: int, parts: list[tuple[int, bytes]]) -> pa.Table:
     return pa.Table.from_pydict({"bucket": [b for b, _ in parts], "chunk": [chunk] * len(parts), "values": [v for _, v in parts]}, SENT)
 
 
-def repeated(values: DataFrame, kind: type, marked: bool) -> DataFrame:
-    """(chunk, bucket, values): of each chunk the values that occur twice or more anywhere; marked: at least once with a mark."""
+def repeated(values: DataFrame, plan: Plan, kind: type, marked: bool) -> DataFrame:
+    """(bucket, chunk, values): of each chunk the values that occur twice or more anywhere; marked: at least once with a mark."""
+    if not plan.coarse:
+        return counted(values, kind, marked)
+    group = lambda d: d.withColumn("crowd", F.expr(f"chunk div {plan.group}"))
+
+    def merge(table: pa.Table) -> pa.Table:
+        v = np.frombuffer(b"".join(table["values"].to_pylist()), np.uint64)
+        v = v[np.argsort(v >> np.uint64(2), kind="stable")]
+        own = v >> np.uint64(2)
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        flags = np.bitwise_or.reduceat(v & np.uint64(3), starts)
+        flags |= (np.diff(np.concatenate((starts, [len(own)]))) > 1).astype(np.uint64) * np.uint64(REPEATED)
+        return sent(table["crowd"][0].as_py(), by_bucket(own[starts], flags, plan, kind))
+
+    sent_ = group(values)
+    merged = sent_.groupBy("bucket", "crowd").applyInArrow(merge, "bucket int, chunk int, values binary")
+    hits = counted(merged, kind, marked).withColumnRenamed("chunk", "crowd").withColumn("coarse", F.pmod("bucket", F.lit(plan.coarse)))
+
+    def answer(table: pa.Table, found: pa.Table) -> pa.Table:
+        if not table.num_rows or not found.num_rows:
+            return sent(0, [])
+        there = whole_keys(found, kind)
+        rows = {"bucket": [], "chunk": [], "values": []}
+        for bucket, chunk, blob in zip(*(table[c].to_pylist() for c in ("bucket", "chunk", "values")), strict=True):
+            own = np.frombuffer(blob, np.uint64) >> np.uint64(2)
+            own = own[among(own, there)]
+            if len(own):
+                for c, x in (("bucket", bucket), ("chunk", chunk), ("values", own.tobytes())):
+                    rows[c].append(x)
+        return pa.Table.from_pydict(rows, SENT)
+
+    return sent_.groupBy("bucket", "crowd").cogroup(hits.groupBy("coarse", "crowd")).applyInArrow(answer, "bucket int, chunk int, values binary")
+
+
+def counted(values: DataFrame, kind: type, marked: bool) -> DataFrame:
+    """repeated() in one round."""
 
     def reduce(table: pa.Table) -> pa.Table:
         blobs = table["values"].to_pylist()
@@ -117,8 +176,8 @@ def repeated(values: DataFrame, kind: type, marked: bool) -> DataFrame:
     return values.groupBy("bucket").applyInArrow(reduce, "bucket int, chunk int, values binary")
 
 
-def known(table: pa.Table, kind: type) -> np.ndarray:
-    """The sorted keys that repeated() gave a chunk."""
+def whole_keys(table: pa.Table, kind: type) -> np.ndarray:
+    """The sorted keys of counted() rows."""
     out = []
     for bucket, blob in zip(table["bucket"].to_pylist(), table["values"].to_pylist(), strict=True):
         v = np.frombuffer(blob, kind).astype(np.uint64)
@@ -126,6 +185,11 @@ def known(table: pa.Table, kind: type) -> np.ndarray:
     return np.sort(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def known(table: pa.Table, plan: Plan, kind: type) -> np.ndarray:
+    """The sorted keys that repeated() gave a chunk."""
+    return whole_keys(table, WIDE if plan.coarse else kind)
+
+
 def among(own: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Which of own are in the sorted array found."""
     if not len(found) or not len(own):

@@ -37,28 +37,27 @@ def repeated_words_removed(df: DataFrame, row_id: str = "doc_id", text: str = "t
     """
     block = (window + 1) // 2
     plan = Plan(df, text)
-    buckets = plan.buckets
     docs = chunked(df, plan, row_id, text)
 
     def anchors(table: pa.Table) -> pa.Table:
         w = words_of(table)
         at, h = windows(w, block)
         own_start = w.starts[w.doc[at]]
-        return sent(table["chunk"][0].as_py(), packed(h, (at - own_start) % block == 0, buckets, NARROW))
+        return sent(table["chunk"][0].as_py(), packed(h, (at - own_start) % block == 0, plan, NARROW))
 
-    hits = repeated(per_chunk(docs, anchors, "bucket int, chunk int, values binary"), NARROW, marked=True)
+    hits = repeated(per_chunk(docs, anchors, "bucket int, chunk int, values binary"), plan, NARROW, marked=True)
 
     def candidates(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows or not found.num_rows:
             return sent(0, [])
         w = words_of(table)
         at, h = windows(w, block)
-        at = at[among(keys(h, buckets, NARROW), known(found, NARROW))]
+        at = at[among(keys(h, plan, NARROW), known(found, plan, NARROW))]
         near = spread(at, window - block, 1, len(w.hashes))
         starts, h = windows(w, window)
-        return sent(table["chunk"][0].as_py(), packed(h[near[starts]], None, buckets, WIDE))
+        return sent(table["chunk"][0].as_py(), packed(h[near[starts]], None, plan, WIDE))
 
-    twice = repeated(with_hits(docs, hits, candidates, "bucket int, chunk int, values binary"), WIDE, marked=False)
+    twice = repeated(with_hits(docs, hits, candidates, "bucket int, chunk int, values binary"), plan, WIDE, marked=False)
     kind = df.schema[row_id].dataType.simpleString()
 
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -66,7 +65,7 @@ def repeated_words_removed(df: DataFrame, row_id: str = "doc_id", text: str = "t
         gone = np.zeros(len(w.hashes), bool)
         if found.num_rows:
             at, h = windows(w, window)
-            gone = spread(at[among(keys(h, buckets, WIDE), known(found, WIDE))], 0, window, len(w.hashes))
+            gone = spread(at[among(keys(h, plan, WIDE), known(found, plan, WIDE))], 0, window, len(w.hashes))
         kept, removed = [], []
         vocabulary, places = w.vocabulary, w.places
         for a, b in zip(w.starts[:-1], w.starts[1:], strict=True):

@@ -105,13 +105,12 @@ def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     span = min_words - k + 1
     back, ahead = span - 1, min_words
     plan = Plan(df, text)
-    buckets = plan.buckets
     docs = chunked(df, plan, row_id, text)
 
     def anchors(table: pa.Table) -> pa.Table:
-        return sent(table["chunk"][0].as_py(), packed(minimisers(words_of(table), k, span)[1], None, buckets, WIDE))
+        return sent(table["chunk"][0].as_py(), packed(minimisers(words_of(table), k, span)[1], None, plan, WIDE))
 
-    hits = repeated(per_chunk(docs, anchors, "bucket int, chunk int, values binary"), WIDE, marked=False)
+    hits = repeated(per_chunk(docs, anchors, "bucket int, chunk int, values binary"), plan, WIDE, marked=False)
     kind = df.schema[row_id].dataType.simpleString()
     shape = f"prefix long, context long, suffix binary, front binary, id {kind}, key long, at int, own_first int, own int"
 
@@ -121,7 +120,7 @@ def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text",
         if table.num_rows and found.num_rows:
             w = words_of(table)
             at, h, first, own = minimisers(w, k, span)
-            held = among(keys(h, buckets, WIDE), known(found, WIDE))
+            held = among(keys(h, plan, WIDE), known(found, plan, WIDE))
             at, h, first, own = at[held], h[held], first[held], own[held]
         doc = w.doc[at] if len(at) else at
         none = pa.array([], pa.binary())
@@ -159,15 +158,15 @@ def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text",
 
     def splits(table: pa.Table) -> pa.Table:
         h, good = own_windows(table, min_words)
-        return sent(table["part"][0].as_py(), packed(h[good], None, buckets, WIDE))
+        return sent(table["part"][0].as_py(), packed(h[good], None, plan, WIDE))
 
-    again = repeated(far.groupBy("part").applyInArrow(splits, "bucket int, chunk int, values binary"), WIDE, marked=False)
+    again = repeated(far.groupBy("part").applyInArrow(splits, "bucket int, chunk int, values binary"), plan, WIDE, marked=False)
 
     def met(table: pa.Table, found: pa.Table) -> pa.Table:
         at, start = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if table.num_rows and found.num_rows:
             h, good = own_windows(table, min_words)
-            hit = good & among(keys(h.ravel(), buckets, WIDE), known(found, WIDE)).reshape(h.shape)
+            hit = good & among(keys(h.ravel(), plan, WIDE), known(found, plan, WIDE)).reshape(h.shape)
             at, start = np.nonzero(hit)
             if len(at):  # a row's windows that touch are one span
                 new = np.concatenate(([True], (np.diff(at) != 0) | (np.diff(start) != 1)))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, mixing, near_dup, pii, quality, queries, sharding, substring_dedup, suffix_dedup, token_counts, url_filters
+from lodestar.llm import decontaminate, mixing, near_dup, pii, quality, queries, repeats, sharding, substring_dedup, suffix_dedup, token_counts, url_filters
 from lodestar.llm.common import Words, rolling
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, size long, quality string, chunk int, id string, key string, copies int"
@@ -399,6 +399,19 @@ def test_substring_dedup_equals_brute_force(spark, window):
     assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept"]) for i in range(len(texts))] == brute_removed(texts, window)
 
 
+def test_repeats_in_two_rounds(spark, monkeypatch):
+    """What a corpus of many TB makes of chunks and buckets, on a small one."""
+    monkeypatch.setattr(repeats, "ROW_VALUES", 1 << 30)
+    monkeypatch.setattr(repeats, "GROUP", 5)
+    monkeypatch.setattr(repeats, "BUCKET_VALUES", 1 << 17)
+    texts = TEXTS + [" ".join(HUGE[:900]), " ".join(HUGE[400:700])]
+    assert repeats.Plan(docs(spark, texts), "text").coarse > 1
+    got = collected(substring_dedup.repeated_words_removed(docs(spark, texts), window=8), "doc_id")
+    assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept"]) for i in range(len(texts))] == brute_removed(texts, 8)
+    found = collected(suffix_dedup.repeated_passages(docs(spark, texts), min_words=30), "doc_id")
+    assert {i: r["n_repeated"] for i, r in found.items()} == {i: n for i, (_, n, _) in enumerate(brute_removed(texts, 30)) if n}
+
+
 def test_substring_dedup_edges(spark):
     t = " ".join(HUGE[:40])
     got = sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.repeated_words_removed(docs(spark, [t, t, None], [1, 1, 2])).collect())
