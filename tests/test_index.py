@@ -66,13 +66,13 @@ def test_full_equals_incremental(spark, tmp_path):
     ("language", "text", "names"),
     [
         ("python", "class A:\n    def f(self): ...\ndef _g(): ...\n", [("A", "class", True), ("f", "method", True), ("_g", "function", False)]),
-        ("rust", "pub struct S {\n}\nimpl S {\n    pub fn new() -> S { S }\n}\n", [("S", "struct", True), ("new", "function", True)]),
+        ("rust", "pub struct S {\n}\nimpl S {\n    pub fn new() -> S { S }\n}\n", [("S", "struct", True), ("S", "impl", False), ("new", "method", True)]),
         ("go", "func Do(x int) {\n}\nfunc (s *T) run() {\n}\ntype T struct {\n}\n", [("Do", "function", True), ("run", "method", False), ("T", "struct", True)]),
         ("typescript", "export class A {\n}\nexport interface B {\n}\nconst f = (x) => x\n", [("A", "class", True), ("B", "interface", True), ("f", "function", False)]),
         ("java", "public class A {\n    public int f(int x) {\n        return g(x);\n    }\n}\n", [("A", "class", True), ("f", "method", True)]),
         ("csharp", "public class A {\n    public int F(int x)\n    {\n    }\n}\n", [("A", "class", True), ("F", "method", True)]),
         ("kotlin", "class A {\n}\nfun go(x: Int) = x\n", [("A", "class", True), ("go", "function", True)]),
-        ("c", "#define N 3\nstruct P {\n};\nint add(int a) {\n  return a;\n}\n", [("N", "constant", False), ("P", "struct", False), ("add", "function", False)]),
+        ("c", "#define N 3\nstruct P {\n};\nint add(int a) {\n  return a;\n}\n", [("N", "constant", True), ("P", "struct", True), ("add", "function", True)]),
     ],
 )
 def test_parsers(language, text, names):
