@@ -131,12 +131,6 @@ def frame_weights(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("place"), change.frame_weight(F.col("l_linenumber")).alias("weight"))
 
 
-@query(f"WITH {PROJECT} SELECT 'f' || f.k AS source_id, 'f' || g.k AS target_id, 'test_for' AS kind, 1.0::FLOAT AS weight FROM f, f g WHERE f.test AND NOT g.test AND f.k = g.k")
-def paired_tests(spark: SparkSession, d: str) -> DataFrame:
-    """No test shares the stem of a file here: the pairing by stems finds none, like the SQL."""
-    return index.test_edges(B.project(spark, d)[0])
-
-
 @query("""SELECT 't' || s_suppkey AS source_id, 'f' || s_suppkey AS target_id, 'test_for' AS kind, CASE s_suppkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.8 END::FLOAT AS weight FROM supplier""")
 def test_edges(spark: SparkSession, d: str) -> DataFrame:
     """A test for each supplier's file: beside it, a folder down, or in another folder."""
