@@ -61,3 +61,53 @@ def test_reports_and_memory(project, tmp_path):
     assert "decision" in names(project.rationale("why is the helper small", "full"), "kind")
     project.export_jsonl(str(tmp_path / "out"))
     assert project.spark.read.text(str(tmp_path / "out")).count() > 20
+
+
+def test_annotations_layers_and_histories(project):
+    project.annotate("pkg/api.py", " Handles requests ", {"handle": "answer"})
+    project.annotate("pkg/api.py", "Handles all requests", {"call": "question"})
+    row = project.annotations().filter("path = 'pkg/api.py'").first()
+    assert (row["purpose"], row["terms"]) == ("Handles all requests", {"handle": "answer", "call": "question"})
+    assert project.files().filter("path = 'pkg/api.py'").first()["purpose_source"] == "agent"
+    with pytest.raises(ValueError, match="not indexed"):
+        project.annotate("no/such.py", "x")
+    with pytest.raises(ValueError, match="300"):
+        project.annotate("pkg/api.py", "x" * 301)
+    project.forget_annotation("pkg/api.py")
+    assert project.annotations().count() == 0 and "pkg/api.py" in names(project.annotation_queue(), "path")
+    layers = project.ask_context("where is the helper", include=("code", "rationale", "history"))
+    assert set(layers) == {"packet", "code", "rationale", "history"} and names(layers["history"], "message")[0] == "first"
+    assert any("def helper" in c for c in names(layers["code"], "code"))
+    assert names(project.symbol_history("handle"), "message") == ["first"] and project.symbol_history("nothing").count() == 0
+    assert names(project.change_timeline("pkg/api.py"), "event") == ["introduced"]
+    assert {r["via"] for r in project.affected_provenance("helper").collect()} <= {"calls", "imports", "test_for"}
+    assert project.contract_changes().count() == 0 and project.verify_change().first()["contracts"] == 0
+    assert project.new_terms("auth error") and project.concept_search("helper").count() > 0
+    assert project.why_no_edges("len") == "filtered_ubiquitous"
+
+
+def test_vectors_follow_the_symbols(project, tmp_path):
+    from lodestar.operators.vectors import HashingEmbedder
+
+    project.vectors_path = str(tmp_path / "vectors")
+    project.sync_vectors(HashingEmbedder())
+    n = project.symbols.count()
+    assert project.vector_status().select("live", "current", "to_embed", "to_drop").first() == (n, n, 0, 0)
+    hit = project.semantic_search("helper", query=HashingEmbedder().embed(["function helper"])[0])
+    assert names(hit)[0] == "helper"
+
+
+def test_reindexing_what_was_edited(project):
+    from pathlib import Path
+
+    root = Path(project.root)
+    (root / "pkg/late.py").write_text("from pkg.util import helper\n\n\ndef late():\n    return helper(3)\n")
+    project.index_paths(["pkg/late.py"])
+    assert "late" in names(project.callers("helper"))
+    (root / "pkg/late.py").unlink()
+    project.index_changed()
+    assert project.get_symbol("late").count() == 1  # git knows of no change: the file was never added
+    project.index_paths([str(root / "pkg/late.py")])
+    assert project.get_symbol("late").count() == 0
+    with pytest.raises(ValueError, match="outside"):
+        project.index_paths(["/elsewhere.py"])
