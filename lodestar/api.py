@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import stopnames
-from .functions.text import expand, new_terms, with_concepts
+from .functions.text import expand, groups_of, new_terms, with_concepts
 from .model import BUDGETS, RATIONALE_AUTO, SCHEMAS, IndexConfig, Weights, resolve_budget, top_k
 from .operators import change, graph, history, memory, reports, search, vectors
 from .plans import ask, explore, index
@@ -134,6 +134,11 @@ class Project:
             out["history"] = rows.withColumn("place", place).filter(F.col("place") <= BUDGETS[budget][4]).drop("place")
         return out
 
+    def synonyms(self, most: int = 5000) -> tuple[tuple[str, ...], ...]:
+        """Groups of interchangeable words for expand(), with the short forms among the commonest words of the project's names."""
+        words = self.symbols.select(F.explode("name_words").alias("w")).filter(F.length("w") >= 2).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most)
+        return groups_of([r["w"] for r in words.collect()])
+
     def new_terms(self, text: str) -> list[str]:
         """What a concept search adds to the words of a question."""
         return new_terms(expand(text).words)

@@ -119,6 +119,26 @@ def synonyms_for(token: str, stems: list[str], groups: tuple[tuple[str, ...], ..
     return list(dict.fromkeys(found + more))[:MAX_SYNONYMS]
 
 
+def abbreviates(short: str, long: str) -> bool:
+    """Whether a word is a usual short form: a beginning of three letters or more, or the first letter and consonants in order."""
+    if not (2 <= len(short) < len(long) and short[0] == long[0] and short.isascii() and long.isascii()):
+        return False
+    if long.startswith(short):
+        return len(short) >= 3
+    rest = iter(long[1:])
+    return len(long) >= 5 and all(c not in "aeiou" and c in rest for c in short[1:])
+
+
+def groups_of(vocabulary: list[str], groups: tuple[tuple[str, ...], ...] = SYNONYMS) -> tuple[tuple[str, ...], ...]:
+    """groups, and one for each word of a project's vocabulary that others abbreviate: for expand()."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(set(vocabulary)):
+        if w:
+            by_letter.setdefault(w[0], []).append(w)
+    found = [(long, *shorts) for own in by_letter.values() for long in own if (shorts := [x for x in own if abbreviates(x, long)])]
+    return (*groups, *found)
+
+
 def primary_stem(word: str) -> str | None:
     return next(iter(stem_variants(word)), None)
 

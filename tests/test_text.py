@@ -83,3 +83,21 @@ def test_test_paths(spark, path, test):
 def test_text_helpers(spark):
     r = spark.createDataFrame([("One two. Three", "[1.0, 2.0]")], "t string, v string").select(C.first_sentence(F.col("t"), 50), C.truncate(F.col("t"), 3), C.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))), C.l2_normalised(F.array(F.lit(3.0), F.lit(4.0)))).first()
     assert r[0] == "One two" and r[1] == "One..." and r[2] == 11.0 and [round(x, 3) for x in r[3]] == [0.6, 0.8]
+
+
+def test_short_forms_of_a_vocabulary():
+    from lodestar.functions import text
+
+    pairs = {("msg", "message"), ("ctx", "context"), ("pkg", "package"), ("conn", "connection"), ("req", "request"), ("cfg", "configuration"), ("buf", "buffer")}
+    assert all(text.abbreviates(a, b) for a, b in pairs)
+    assert not any(text.abbreviates(a, b) for a, b in [("cat", "dog"), ("as", "assert"), ("message", "msg"), ("code", "context"), ("a", "array"), ("tx", "text")])
+    groups = text.groups_of(["msg", "message", "msgs", "dog", "request", "req"], ())
+    assert ("message", "msg") in groups and ("request", "req") in groups and not any("dog" in g for g in groups)
+    assert "message" in text.expand("msg", groups).tokens[0].synonyms
+
+
+def test_concepts():
+    from lodestar.functions import text
+
+    assert text.with_concepts(["login", "page"])[:2] == ["login", "page"] and "session" in text.new_terms(["login"])
+    assert text.new_terms(["login"], {"login": ("door",)}) == ["door"] and text.new_terms(["caching"]) == list(text.CONCEPTS["cache"])
