@@ -20,6 +20,8 @@ MAX_LABELLED = 50_000
 TREES, DEPTH, BINS, RATE = 10, 3, 16, 0.4
 #: Strength of the prior of a suffix's block rate, and URLs a suffix needs in the sample to have a rate of its own.
 PRIOR, LEAST_URLS = 4.0, 3
+#: Files of the table of binned URLs, which MAX_LABELLED bounds.
+FILES = 4
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-_.%=&/"
 #: Words in a host that label it as unwanted for training.
 UNWANTED_TERMS = ("ads", "adult", "bets", "betting", "casino", "cheap", "escort", "free", "loan", "lottery", "pills", "poker", "porn", "replica", "spam", "track", "viagra", "win", "xxx")
@@ -139,7 +141,7 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", max_labelle
     limits = train.agg(*[F.array_distinct(F.percentile(k, F.array(*[F.lit(q / BINS) for q in range(1, BINS)]))).alias(k) for k in FEATURES]).first()
     cuts = {k: sorted(limits[k] or []) for k in FEATURES}
     bin_of = lambda k: sum((F.when(F.col(k) > c, 1).otherwise(0) for c in cuts[k]), F.lit(0)).cast("int")
-    packed = saved(train.select("_y", F.array(*[bin_of(k) for k in FEATURES]).alias("b")).groupBy("_y", "b").agg(F.count(F.lit(1)).cast("double").alias("w")), "bins")
+    packed = saved(train.select("_y", F.array(*[bin_of(k) for k in FEATURES]).alias("b")).groupBy("_y", "b").agg(F.count(F.lit(1)).cast("double").alias("w")).coalesce(FILES), "bins")
     base = min(max(prior, 1e-3), 1 - 1e-3)
     import math
 
@@ -179,7 +181,8 @@ def grow(packed: DataFrame, score: Column, depth: int, cuts: dict[str, list[floa
     splits: dict[int, tuple[int, int]] = {}  # node -> feature, bin; node's children are 2 n and 2 n + 1
     leaves: dict[int, float] = {}
     open_nodes = [1]
-    for level in range(depth + 1):
+    leaf = lambda g, h: round(RATE * g / (h + 1), 9)
+    for level in range(depth):
         if not open_nodes:
             break
         node = place(splits, 1)
@@ -190,7 +193,7 @@ def grow(packed: DataFrame, score: Column, depth: int, cuts: dict[str, list[floa
             table = {(r["f"], r["bin"]): (r["g"], r["h"]) for r in found if r["node"] == n}
             g = sum(v[0] for (f, _), v in table.items() if f == 0)
             h = sum(v[1] for (f, _), v in table.items() if f == 0)
-            best = (1e-6, None)
+            best = (1e-6, None, (0.0, 0.0))
             for f, name in enumerate(FEATURES):
                 gl = hl = 0.0
                 for b in range(len(cuts[name])):
@@ -198,12 +201,16 @@ def grow(packed: DataFrame, score: Column, depth: int, cuts: dict[str, list[floa
                     gl, hl = gl + dg, hl + dh
                     gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
                     if min(hl, h - hl) > 0.1 and gain > best[0] + 1e-9:
-                        best = (gain, (f, b))
-            if best[1] is None or level == depth:
-                leaves[n] = round(RATE * g / (h + 1), 9)
-            else:
-                splits[n] = best[1]
+                        best = (gain, (f, b), (gl, hl))
+            if best[1] is None:
+                leaves[n] = leaf(g, h)
+                continue
+            splits[n] = best[1]
+            if level + 1 < depth:
                 coming += [2 * n, 2 * n + 1]
+            else:  # the last level's sums are known from the split
+                gl, hl = best[2]
+                leaves |= {2 * n: leaf(gl, hl), 2 * n + 1: leaf(g - gl, h - hl)}
         open_nodes = coming
 
     def built(n: int) -> tuple | float:

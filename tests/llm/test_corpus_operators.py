@@ -783,6 +783,60 @@ def test_url_model_on_held_out_hosts(spark):
     assert sum((r["verdict"] == "block") == (r["label"] == 1) for r in got) / len(got) > 0.95
 
 
+def test_url_trees_equal_brute_force(spark):
+    """One tree by every split of every feature, over rows in place of sums."""
+    rnd = random.Random(3)
+    names = url_filters.FEATURES
+    cuts = {k: [1.0, 2.0, 3.0] for k in names}
+    rows = [([rnd.randint(0, 3) for _ in names], rnd.random()) for _ in range(300)]
+    rows = [(b, int((b[2] >= 2 and b[5] < 2) or x < 0.1), float(rnd.randint(1, 3))) for b, x in rows]
+    start, p = 0.3, 1 / (1 + math.exp(-0.3))
+
+    def grown(own, depth):
+        g, h = sum((y - p) * w for _, y, w in own), sum(p * (1 - p) * w for _, _, w in own)
+        best = (1e-6, None)
+        for f in range(len(names)) if depth else ():
+            for c in range(3):
+                left = [r for r in own if r[0][f] <= c]
+                gl, hl = sum((y - p) * w for _, y, w in left), sum(p * (1 - p) * w for _, _, w in left)
+                gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
+                if min(hl, h - hl) > 0.1 and gain > best[0] + 1e-9:
+                    best = (gain, (f, c))
+        if best[1] is None:
+            return url_filters.RATE * g / (h + 1)
+        f, c = best[1]
+        return f, c, grown([r for r in own if r[0][f] <= c], depth - 1), grown([r for r in own if r[0][f] > c], depth - 1)
+
+    def same(a, b):
+        return a == pytest.approx(b, abs=1e-6) if isinstance(b, float) else a[:2] == b[:2] and same(a[2], b[2]) and same(a[3], b[3])
+
+    packed = spark.createDataFrame(rows, "b array<int>, _y int, w double")
+    for depth in (1, 3):
+        assert same(url_filters.grow(packed, F.lit(start), depth, cuts), grown(rows, depth))
+
+
+def test_url_features_and_rates(spark):
+    urls = ["http://a.b.example.com/x/y-z?p=1&q=22#f", None, "no scheme", "https://www.Example.org", "http://h/?"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rates = spark.createDataFrame([(1, "com", 0.25), (2, "example.com", 0.5), (3, "b.example.com", 0.75), (1, "org", 0.1)], "k int, suffix string, rate double")
+    got = collected(url_filters.UrlModel(0.05, rates).with_rates(url_filters.featured(df, "url")), "page_id")
+    for i, u in enumerate(urls):
+        u = u or ""
+        host, path, _ = brute_url(u)
+        query = re.search(r"\?([^#]*)", u)
+        params = len(query[1].split("&")) if query and query[1] else 0
+        n = Counter(u.lower())
+        entropy = -sum(n[c] / len(u) * math.log2(n[c] / len(u)) for c in url_filters.ALPHABET if n[c])
+        f = got[i]["_f"]
+        assert (f["url_length"], f["host_length"], f["labels"], f["hyphens"], f["path_length"], f["depth"], f["parameters"]) == (len(u), len(host), host.count(".") + 1, host.count("-"), len(path), path.count("/"), params)
+        assert f["digits"] == pytest.approx(sum(c.isdigit() for c in u) / max(1, len(u))) and f["entropy"] == pytest.approx(entropy, abs=1e-6)
+        known = {"com": 0.25, "example.com": 0.5, "b.example.com": 0.75, "org": 0.1}
+        rate, labels = 0.05, host.split(".")
+        for k in (1, 2, 3):
+            rate = known.get(".".join(labels[-k:]), rate) if len(labels) >= k or k == 1 else rate
+            assert got[i][f"rate{k}"] == (rate if len(labels) >= k else known.get(host, rate))
+
+
 def test_url_model_without_labels(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filters.judge(empty, url_filters.fit(url_filters.weak_labels(empty)), {}).count() == 0
