@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.text import Query, expand
+from ..functions.text import Query, Token, expand
 
 
 def with_search_columns(symbols: DataFrame) -> DataFrame:
@@ -21,16 +21,15 @@ def with_search_columns(symbols: DataFrame) -> DataFrame:
     })
 
 
-def strengths(q: Query, stems: Column | None) -> tuple[Column, list[Column]]:
-    """The phrase score of a question of several tokens, and each token's strength: over 0 in the name, under 0 in the rest."""
-    name, words = F.col("name_lower"), F.col("name_words")
-    phrase = C.phrase_score(q, name, F.col("sig_lower"))
-    out = []
-    for t in q.tokens:
-        own = C.name_strength(t, name, words, stems)
-        text = F.greatest(C.text_strength(t, F.col("sig_lower")), C.text_strength(t, F.col("path_lower")))
-        out.append(F.when(phrase > 0, 1.0).when(own > 0, own).otherwise(-text))
-    return phrase, out
+def token_strengths(t: Token, stems: Column | None) -> tuple[Column, Column]:
+    """How strongly a token is in a symbol's name, and in its signature or path."""
+    name = C.name_strength(t, F.col("name_lower"), F.col("name_words"), stems)
+    return name, F.greatest(C.text_strength(t, F.col("sig_lower")), C.text_strength(t, F.col("path_lower")))
+
+
+def strength(phrase: Column, name: Column, text: Column) -> Column:
+    """A token's strength in a question: over 0 in the name, under 0 in the rest; 1 throughout where the phrase is there."""
+    return F.when(phrase > 0, 1.0).when(name > 0, name).otherwise(-text)
 
 
 def rarity(used: list[Column], names: list[str]) -> list[Column]:
@@ -52,9 +51,11 @@ def multi_scored(symbols: DataFrame, q: Query) -> DataFrame:
 
     The weights are one row of partial sums, joined by broadcast: its size is the number of tokens.
     """
-    phrase, own = strengths(q, F.col("name_word_stems") if "name_word_stems" in symbols.columns else None)
+    stems = F.col("name_word_stems") if "name_word_stems" in symbols.columns else None
+    phrase = C.phrase_score(q, F.col("name_lower"), F.col("sig_lower"))
+    own = [strength(F.col("phrase"), *token_strengths(t, stems)) for t in q.tokens]
     s, w = [f"s{i}" for i in range(len(own))], [f"w{i}" for i in range(len(own))]
-    rows = symbols.withColumns({"phrase": phrase} | dict(zip(s, own, strict=True)))
+    rows = symbols.withColumn("phrase", phrase).withColumns(dict(zip(s, own, strict=True)))
     used = [F.col(c) for c in s]
     rows = rows.filter(C.any_of([c != 0 for c in used]))
     scored = rows.crossJoin(F.broadcast(rows.agg(*rarity(used, w)))).withColumn("score", combined(q, F.col("phrase"), used, [F.col(c) for c in w]))
@@ -62,7 +63,7 @@ def multi_scored(symbols: DataFrame, q: Query) -> DataFrame:
 
 
 #: Questions whose scores one plan makes at once.
-BATCH = 40
+BATCH = 20
 
 
 def batch(symbols: DataFrame, texts: list[str], k: int) -> DataFrame:
@@ -75,16 +76,20 @@ def batch(symbols: DataFrame, texts: list[str], k: int) -> DataFrame:
     stems = F.col("name_word_stems") if "name_word_stems" in symbols.columns else None
     for start in range(0, len(texts), BATCH):
         asked = list(enumerate(map(expand, texts[start : start + BATCH])))
-        several = [(i, q, *strengths(q, stems)) for i, q in asked if len(q.tokens) > 1]
-        held = symbols
+        several = {i: q for i, q in asked if len(q.tokens) > 1}
+        # Tokens, strengths and scores are columns of their own projections: each is made once, a token's for all questions.
+        tokens = {t: k for k, t in enumerate(dict.fromkeys(t for q in several.values() for t in q.tokens))}
+        held, cols = symbols, {}
         if several:
-            sums = [c for i, _, _, own in several for c in rarity(own, [f"w{i}_{j}" for j in range(len(own))])]
-            held = symbols.crossJoin(F.broadcast(symbols.agg(*sums)))
+            held = held.withColumns({f"{side}{k}": c for t, k in tokens.items() for side, c in zip("tx", token_strengths(t, stems), strict=True)} | {f"p{i}": C.phrase_score(q, F.col("name_lower"), F.col("sig_lower")) for i, q in several.items()})
+            cols = {i: ([strength(F.col(f"p{i}"), F.col(f"t{tokens[t]}"), F.col(f"x{tokens[t]}")) for t in q.tokens], [f"w{i}_{j}" for j in range(len(q.tokens))]) for i, q in several.items()}
+            held = held.crossJoin(F.broadcast(held.agg(*[c for s, w in cols.values() for c in rarity(s, w)])))
         scores = {i: C.single_score(q.tokens[0], F.col("name_lower"), F.col("name_words")) for i, q in asked if len(q.tokens) == 1}
-        scores |= {i: F.when(C.any_of([s != 0 for s in own]), combined(q, phrase, own, [F.col(f"w{i}_{j}") for j in range(len(own))])).otherwise(0.0) for i, q, phrase, own in several}
+        scores |= {i: F.when(C.any_of([c != 0 for c in s]), combined(several[i], F.col(f"p{i}"), s, [F.col(c) for c in w])).otherwise(0.0) for i, (s, w) in cols.items()}
         whole = lambda q, s: F.when(F.col("name") == q.text, 1.01).when(F.col("name_lower") == q.text.lower(), 1.0).otherwise(s)
-        all_ = F.array(*[F.struct(F.lit(start + i).alias("n"), whole(q, scores.get(i, F.lit(0.0))).cast("double").alias("score")) for i, q in asked])
-        rows = held.select("id", "ordinal", F.explode(F.filter(all_, lambda x: x["score"] > 0)).alias("s")).select(F.col("s.n").alias("n"), "id", "ordinal", "s.score")
+        held = held.select("id", "ordinal", *[whole(q, scores.get(i, F.lit(0.0))).cast("double").alias(f"score{i}") for i, q in asked])
+        all_ = F.array(*[F.struct(F.lit(start + i).alias("n"), F.col(f"score{i}").alias("score")) for i, _ in asked])
+        rows = held.select("id", "ordinal", F.explode(all_).alias("s")).filter("s.score > 0").select(F.col("s.n").alias("n"), "id", "ordinal", "s.score")
         out = rows if out is None else out.unionByName(rows)
     place = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "ordinal"))
     names = F.element_at(F.array(*map(F.lit, texts)), F.col("n") + 1)
