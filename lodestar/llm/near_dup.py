@@ -11,7 +11,8 @@
 4. The rest is confirmed on the full sets, made again from the texts.
 5. Lists that then hold more than one component are gone through again: short ones pair by pair across components, long
    ones under longer runs, where everything outside the largest component is compared with that component and with each
-   other in blocks of BLOCK documents. So a link that misses the star's centre is found as well.
+   other in blocks of BLOCK documents. So a link that misses the star's centre is found as well. Documents that can't have
+   such a link, as too few of their shingles are in any other component, are found by counting shingles and left out before.
 """
 
 from __future__ import annotations
@@ -198,6 +199,52 @@ def pair_tasks(pairs: DataFrame) -> DataFrame:
     return named.select(F.col("b").alias("id"), "task", F.lit(False).alias("left")).unionByName(named.select(F.col("a").alias("id"), "task", F.lit(True).alias("left")).distinct())
 
 
+def linkable(held: DataFrame, texts: DataFrame, buckets: int, shingle: int, percent: int) -> DataFrame:
+    """(rep): the documents of held that may have a link with one of another component there; held: (rep, comp).
+
+    A link's common shingles are percent of the union and so of either set or more, so that a document of which fewer are
+    in any other component has none. Nothing else goes, and no pair is made. Sets go to buckets of values in packed rows,
+    one for each bucket and slice of texts.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    given = held.select(F.col("rep").alias("id"), F.xxhash64("comp").alias("comp")).join(texts, "id").select("id", "comp", "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, starts = shingle_sets(binary(part["text"]).to_pylist(), shingle)
+                n = np.diff(starts)
+                sums = np.diff(np.concatenate((np.zeros(1, np.uint64), np.cumsum(h)))[starts]).astype(np.int64)  # tells an id's texts apart
+                bucket, doc = (h % np.uint64(buckets)).astype(np.int64), np.repeat(np.arange(len(n)), n)
+                order = np.argsort(bucket, kind="stable")
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(ends)):
+                    at = order[ends[b] : ends[b + 1]]
+                    docs, counts = np.unique(doc[at], return_counts=True)
+                    lists = [part["id"].take(pa.array(docs)), part["comp"].take(pa.array(docs)), pa.array(sums[docs]), pa.array(n[docs], pa.int64()), pa.array(counts, pa.int64())]
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), x) for x in lists]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([h[at].tobytes()], pa.binary()), *lists], names=["bucket", "hashes", "reps", "comps", "sums", "sizes", "counts"])
+
+    def count(table: pa.Table) -> pa.Table:
+        flat = lambda c: pa.concat_arrays([x.flatten() for x in table[c].chunks])
+        h = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)
+        counts = flat("counts").to_numpy()
+        owner = np.repeat(np.arange(len(counts)), counts)
+        comp = flat("comps").to_numpy()[owner]
+        order = np.lexsort((comp, h))
+        h, comp = h[order], comp[order]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        ends = np.append(starts[1:], len(h))
+        both = np.repeat(comp[starts] != comp[ends - 1], ends - starts)
+        shared = np.bincount(owner[order][both], minlength=len(counts))
+        out = pa.table({"rep": flat("reps"), "sum": flat("sums"), "size": flat("sizes"), "shared": pa.array(shared, pa.int64())})
+        return out.filter(pa.array(shared > 0))
+
+    packed = given.mapInArrow(pack, f"bucket long, hashes binary, reps array<{kind}>, comps array<long>, sums array<long>, sizes array<long>, counts array<long>")
+    found = packed.groupBy("bucket").applyInArrow(count, f"rep {kind}, sum long, size long, shared long")
+    return found.groupBy("rep", "sum", "size").agg(F.sum("shared").alias("shared")).filter(100 * F.col("shared") >= percent * F.col("size")).select("rep").distinct()
+
+
 def block_tasks(outside: DataFrame, members: DataFrame) -> DataFrame:
     """(id, task, left): for each comp, the documents outside against all its members and against each other.
 
@@ -205,7 +252,7 @@ def block_tasks(outside: DataFrame, members: DataFrame) -> DataFrame:
     """
     size = lambda d, c: d.groupBy("comp").agg(F.count(F.lit(1)).alias(c))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    counts = size(outside, "o").join(size(members, "m"), "comp").select("comp", blocks(F.col("o")).alias("nl"), blocks(F.col("m") + F.col("o")).alias("nr"))
+    counts = size(outside, "o").join(size(members, "m"), "comp", "left").select("comp", blocks(F.col("o")).alias("nl"), blocks(F.coalesce("m", F.lit(0)) + F.col("o")).alias("nr"))
     counts = saved(counts.coalesce(LEAST_FILES), "blocks")  # a table, so that adaptive execution may split a large component
     rights = members.select("rep", "comp").unionByName(outside.select("rep", "comp"))
     spread_ = lambda d, own, other: d.join(counts, "comp").select("rep", "comp", F.pmod(F.xxhash64("rep"), F.col(own)).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"))
@@ -341,10 +388,15 @@ def linked(df: DataFrame, row_id: str, text: str, shingle: int, percent: int) ->
     outside = saved(outside.coalesce(files), "outside")
     release(df.sparkSession)
     members = saved(with_components(reps.select("rep", "n", "sketch"), labels).coalesce(files), "members")
-    tasks = narrowed(block_tasks(outside, members), members, percent)
+    held = members.join(outside.select("comp").distinct(), "comp", "left_semi").unionByName(members.join(outside.select("rep").distinct(), "rep", "left_semi"))
+    held = saved(held.groupBy("rep", "comp").agg(F.sum("n").alias("n")).coalesce(files), "held")
+    buckets = max(LEAST_FILES, (held.agg(F.sum("n")).first()[0] or 0) // FILE_ROWS)
+    able = saved(linkable(held, texts, buckets, shingle, percent).coalesce(files), "linkable")
+    near, able_members = outside.join(able, "rep", "left_semi"), members.join(able, "rep", "left_semi")
+    tasks = narrowed(block_tasks(near, able_members), able_members, percent)
     tasks = pair_tasks(pairs).unionByName(tasks)
     more = saved(confirmed(tasks, texts, shingle, percent).coalesce(files), "more-links")
-    forget(lists, runs, largest, pairs, outside, members)
+    forget(lists, runs, largest, pairs, outside, members, held, able)
     release(df.sparkSession)
     if more.head(1):
         labels = components(edges.unionByName(more))

@@ -352,6 +352,49 @@ def test_near_duplicates_with_long_lists(spark, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(texts, list(range(len(texts))), 2)
 
 
+def passages(n, links, seed=3):
+    """n texts that share a passage and no link, and after them an edit of each of the first `links`."""
+    rnd = random.Random(seed)
+    word = lambda: rnd.choice("abcdefghij") + str(rnd.randint(0, 99999))
+    common = [word() for _ in range(70)]
+    texts = [[*common, *(word() for _ in range(30))] for _ in range(n)]
+    return [" ".join(w) for w in texts + [[*w[:-4], word(), *w[-3:]] for w in texts[:links]]]
+
+
+def test_near_duplicates_block_rows_follow_the_rows(spark, monkeypatch):
+    """A passage that many texts hold, and no more, brings none of them into the block comparison; links among them stay."""
+    monkeypatch.setattr(near_dup, "SHORT", 3)
+    monkeypatch.setattr(near_dup, "BLOCK", 5)
+    made, blocks = [], near_dup.block_tasks
+
+    def counted(outside, members):
+        tasks = blocks(outside, members)
+        made.append(tasks.count())
+        return tasks
+
+    monkeypatch.setattr(near_dup, "block_tasks", counted)
+    for n, links in ((60, 0), (120, 0), (60, 6)):
+        texts = passages(n, links)
+        got = collected(near_dup.near_duplicates(docs(spark, texts), shingle=2), "doc_id")
+        assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(texts, list(range(len(texts))), 2)
+    assert made[:2] == [0, 0] and made[2] <= 120
+
+
+def test_linkable_drops_only_what_has_no_link(spark):
+    """Against all pairs: every document with a link across components stays, and blocks need no member of the main component."""
+    for texts in (edited(4, 60), passages(30, 8)):
+        ids = list(range(len(texts)))
+        comp = {i: i % 7 for i in ids}
+        held = spark.createDataFrame([(i, c) for i, c in comp.items()], "rep long, comp long")
+        given = docs(spark, texts).select(F.col("doc_id").cast("long").alias("id"), "text")
+        sets = [set(zip(w, w[1:], strict=False)) for w in map(words_of, texts)]
+        want = {i for i in ids if 100 * sum(any(s in sets[j] for j in ids if comp[j] != comp[i]) for s in sets[i]) >= 80 * len(sets[i])}
+        assert {r["rep"] for r in near_dup.linkable(held, given, 3, 2, 80).collect()} == want
+        assert {x for i in ids for j in ids if comp[i] != comp[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for x in (i, j)} <= want
+    alone = near_dup.block_tasks(spark.createDataFrame([(1, 9), (2, 9)], "rep long, comp long"), spark.createDataFrame([], "rep long, comp long"))
+    assert {(r["id"], r["left"]) for r in alone.collect()} == {(1, True), (2, True), (1, False), (2, False)}
+
+
 def test_near_duplicates_of_hot_small_sets(spark):
     texts = ["aa bb cc dd ee"] + [f"aa bb cc dd ee x{i}" for i in range(120)]
     ids = [1000, *range(120)]
